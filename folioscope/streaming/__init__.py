@@ -1,0 +1 @@
+"""Empty on purpose: the capabilities covered here are batch only."""
