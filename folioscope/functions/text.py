@@ -104,7 +104,8 @@ def digits_of(text: Column) -> Column:
 def substring_count(text: Column, needle: Column) -> Column:
     """Number of non-overlapping occurrences; an empty needle counts as absent."""
     removed = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.when(F.length(needle) == 0, F.lit(0)).otherwise(F.floor(removed / F.length(needle))).cast("bigint")
+    found = (F.length(needle) > 0) & text.contains(needle)
+    return F.when(found, F.floor(removed / F.length(needle))).otherwise(F.lit(0)).cast("bigint")
 
 
 def html_escape(text: Column) -> Column:
