@@ -147,14 +147,23 @@ def _dot_batches(batches):
 def cosine_pairs(weights: DataFrame, min_sim: float, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All pairs of distinct unit vectors with cosine at least ``min_sim``, and the copies of each vector.
 
-    Exact, by prefix filtering: with the terms of every vector in one global order, rarest first, a pair
-    can reach the bound only if the two share a term in their prefixes, the part before the remaining
-    weights fall under the bound. Frequent terms stay in the suffix, so they seldom generate pairs, and
-    the join on them is split by the skew handling of adaptive execution.
     Returns (i, j, sim) with i < j over representatives, and the membership (doc_id, rep).
     """
     if not 0 < min_sim <= 1:
         raise ValueError("min_sim must be in (0, 1]")
+    return dot_pairs(weights, min_sim, 1.0, key)
+
+
+def dot_pairs(
+    weights: DataFrame, min_sim: float, max_norm: float, key: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """All pairs of distinct vectors, no longer than ``max_norm``, with dot product at least ``min_sim``.
+
+    Exact, by prefix filtering: with the terms of every vector in one global order, rarest first, a pair
+    can reach the bound only if the two share a term in their prefixes, the part before the length of the
+    rest times ``max_norm`` falls under the bound. Frequent terms stay in the rest, so they seldom generate
+    pairs, and the join on them is split by the skew handling of adaptive execution.
+    """
     key_type = weights.schema[key].dataType.simpleString()
     numbered = weights.join(numbered_terms(weights), "term").select(key, "tid", "weight", "df")
     reps, members = distinct_vectors(numbered, key)
@@ -163,7 +172,8 @@ def cosine_pairs(weights: DataFrame, min_sim: float, key: str = "doc_id") -> tup
     frequent_first = Window.partitionBy("rep").orderBy(F.col("df").desc(), F.col("tid").desc())
     mass = F.sum(F.col("weight") * F.col("weight")).over(frequent_first.rowsBetween(Window.unboundedPreceding, 0))
     # the slack keeps pairs that meet the bound only after rounding
-    prefix = entries.withColumn("mass", mass).filter(F.col("mass") >= (min_sim - 1e-6) ** 2).select("rep", "tid")
+    least = ((min_sim - 1e-6) / max_norm) ** 2
+    prefix = entries.withColumn("mass", mass).filter(F.col("mass") >= least).select("rep", "tid")
     left, right = prefix.select("tid", F.col("rep").alias("i")), prefix.select("tid", F.col("rep").alias("j"))
     candidates = left.join(right, "tid").filter(F.col("i") < F.col("j")).select("i", "j").distinct()
 
@@ -179,18 +189,29 @@ def cosine_pairs(weights: DataFrame, min_sim: float, key: str = "doc_id") -> tup
     return scored.filter(F.round("sim", 6) >= min_sim), members
 
 
-def combined_similarity(parts: Mapping[str, DataFrame], weights: Mapping[str, float]) -> DataFrame:
-    """Weighted sum of similarity tables (i, j, sim); an absent pair counts as zero."""
-    scaled = [
-        df.select("i", "j", (F.col("sim") * F.lit(float(weights[name]))).alias("sim")) for name, df in parts.items()
-    ]
-    return reduce(DataFrame.unionByName, scaled).groupBy("i", "j").agg(F.sum("sim").alias("sim"))
-
-
 # The weights of the parts in the combined similarity.
 PART_WEIGHTS: dict[str, float] = {"title": 0.6, "abstract": 1.0, "terms": 0.5, "authors": 0.5, "pubtypes": 0.4}
 
 
+def combined_similarity(
+    parts: Mapping[str, DataFrame],
+    min_sim: float,
+    weights: Mapping[str, float] = PART_WEIGHTS,
+    key: str = "doc_id",
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose weighted sum of cosines over the parts reaches ``min_sim``.
+
+    A weighted sum of cosines is the dot product of the parts set side by side, each scaled by the root of
+    its weight, so one similarity join does for all parts. ``parts`` are unit vectors in long form.
+    """
+    blocks = {
+        name: df.select(key, "term", (F.col("weight") * F.lit(weights[name] ** 0.5)).alias("weight"))
+        for name, df in parts.items()
+    }
+    stacked = hstack_features(blocks, key).select(key, F.concat_ws("|", "block", "term").alias("term"), "weight")
+    return dot_pairs(stacked, min_sim, sum(weights[name] for name in parts) ** 0.5, key)
+
+
 def corpus_flags(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How many documents have any entry in each multi-valued column."""
     return docs.agg(*[F.count_if(F.size(c) > 0).alias(f"n_{c}") for c in columns])

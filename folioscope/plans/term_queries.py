@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
+from folioscope.operators import embedding as E
+from folioscope.operators import stemming as ST
 from folioscope.operators import terms as M
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query, table
@@ -160,3 +165,97 @@ def corpus_flags(spark, sf_dir):
         F.regexp_extract_all("text", F.lit("[^ ]+@[^ ]+"), F.lit(0)).alias("mails"),
     )
     return M.corpus_flags(docs, ["numbers", "mails"])
+
+
+FIRST_LINE = "title_docs AS (SELECT doc_id, string_split(text, chr(10))[1] AS text FROM documents)"
+
+
+def _unit_twin(name: str, source: str) -> str:
+    """CTEs that end in ``name``: TF-IDF unit vectors of the texts in ``source``."""
+    body = TFIDF.replace("FROM documents)", f"FROM {source})")
+    for cte in ("toks", "tok", "bare_rows", "term_rows", "counts", "dfs", "weighted", "tfidf"):
+        body = re.sub(rf"\b{cte}\b", f"{name}_{cte}", body)
+    return body
+
+
+COMBINED_MIN = 1.6
+
+
+@query(
+    "combined_similarity",
+    f"""WITH {FIRST_LINE}, {_unit_twin('title', 'title_docs')}, {_unit_twin('abstract', 'documents')},
+    cells AS (
+      SELECT doc_id, 'title|' || term AS term, weight * sqrt(0.6) AS weight FROM title_tfidf
+      UNION ALL SELECT doc_id, 'abstract|' || term, weight FROM abstract_tfidf
+      UNION ALL SELECT doc_id, 'terms|' || source, sqrt(0.5) FROM documents
+      UNION ALL SELECT doc_id, 'pubtypes|' || lang, sqrt(0.4) FROM documents),
+    signed AS (SELECT doc_id, string_agg(term || '=' || round(weight, 9)::VARCHAR, ',' ORDER BY term) AS sig
+      FROM cells GROUP BY doc_id),
+    reps AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY sig) AS rep FROM signed),
+    v AS (SELECT doc_id, term, round(weight, 9) AS weight FROM cells WHERE doc_id IN (SELECT rep FROM reps)),
+    pairs AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.weight * b.weight) AS sim
+      FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
+    SELECT i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {COMBINED_MIN}""",
+)
+def combined_similarity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    titles = docs.select("doc_id", F.split("text", "\n")[0].alias("text"))
+    parts = {
+        "title": M.tfidf(M.token_rows(titles), titles),
+        "abstract": M.tfidf(M.token_rows(docs), docs),
+        "terms": docs.select("doc_id", F.col("source").alias("term"), F.lit(1.0).alias("weight")),
+        "pubtypes": docs.select("doc_id", F.col("lang").alias("term"), F.lit(1.0).alias("weight")),
+    }
+    pairs, _ = M.combined_similarity(parts, COMBINED_MIN)
+    return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(
+    "minmax_per_term",
+    f"""WITH {TFIDF}, b AS (SELECT term, max(weight) AS hi,
+      CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN least(min(weight), 0) ELSE min(weight) END AS lo
+      FROM tfidf GROUP BY term)
+    SELECT doc_id, term, round((weight - lo) / (hi - lo), 6) AS weight FROM tfidf JOIN b USING (term)""",
+)
+def minmax_per_term(spark, sf_dir):
+    docs, rows = document_rows(spark, sf_dir)
+    scaled = M.minmax_per_term(M.tfidf(rows, docs), M.count_rows(docs))
+    return scaled.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+ATTENTION_LENGTH = 9
+
+
+@query(
+    "attention_context_pairs",
+    f"""WITH sent AS (
+      SELECT doc_id, row_number() OVER () AS sid, sentence FROM (
+        SELECT doc_id, unnest(regexp_split_to_array(text, '[.?!]')) AS sentence FROM documents)
+      WHERE length(regexp_replace(sentence, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) > 0),
+    {S.filtered_rows('sent', key='sid', column='sentence')},
+    sw AS (SELECT s.doc_id, s.sid, t.term FROM term_rows t JOIN sent s USING (sid)),
+    n AS (SELECT count(*) AS n FROM sent),
+    voc AS (SELECT term, count(*) AS c FROM sw GROUP BY term HAVING count(*) > 0.01 * (SELECT n FROM n)
+      AND count(*) < 0.5 * (SELECT n FROM n)),
+    {S.filtered_rows('benchmark', key='item_id').replace('toks', 'btoks').replace('bare_rows', 'bbare')
+      .replace('term_rows', 'bterms').replace('tok ', 'btok ').replace('FROM tok', 'FROM btok')},
+    att AS (SELECT DISTINCT term AS attention FROM bterms WHERE length(term) >= {ATTENTION_LENGTH})
+    SELECT a.attention, c.term AS context, c.doc_id, count(*) AS times
+    FROM (SELECT DISTINCT sid, attention FROM sw JOIN att ON term = attention) a
+    JOIN sw c ON c.sid = a.sid AND c.term <> a.attention JOIN voc ON voc.term = c.term GROUP BY 1, 2, 3""",
+)
+def attention_context_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark")
+    listed = bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
+    listed = listed.filter(F.length("phrase") >= ATTENTION_LENGTH).distinct()
+    pairs = E.attention_context_pairs(E.sentence_words(docs), listed)
+    return pairs.groupBy("attention", "context", "doc_id").agg(F.sum("times").alias("times"))
+
+
+@query(
+    "vocab_stem_job",
+)
+def vocab_stem_job(spark, sf_dir):
+    docs, rows = document_rows(spark, sf_dir)
+    return ST.stem_terms(M.raw_counts(rows)).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
