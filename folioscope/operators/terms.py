@@ -32,7 +32,9 @@ def raw_counts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Number of documents per term. Looking at ``tf`` keeps the counts equal to those they are joined with,
+    so that both read one shuffle."""
+    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def vocabulary(

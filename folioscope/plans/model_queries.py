@@ -12,13 +12,13 @@ from folioscope.operators import neighbors as NB
 from folioscope.operators import topics as O
 from folioscope.plans.graph_queries import quantity_edges
 from folioscope.operators import graph as G
-from folioscope.plans.registry import query, table
+from folioscope.plans.registry import query, table, texts
 from folioscope.plans.term_queries import ATTENTION_LENGTH
 from folioscope.plans.vector_queries import vectors
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts(spark, sf_dir, "doc_id", "text")
 
 
 def parts(spark, sf_dir):

@@ -8,7 +8,7 @@ from folioscope.functions import vectors as V
 from folioscope.operators import retrieval, terms
 from folioscope.plans import sqltext as S
 from folioscope.plans.graph_queries import SYMMETRIC, quantity_edges
-from folioscope.plans.registry import query, table
+from folioscope.plans.registry import query, table, texts
 from folioscope.plans.term_queries import TFIDF, document_rows
 from folioscope.plans.vector_queries import vectors
 from folioscope.operators import graph as G
@@ -22,7 +22,7 @@ VALID = f"coalesce(length({TITLE}), 0) > 0"
 
 
 def article_records(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    docs = texts(spark, sf_dir).withColumn("lines", F.split("text", "\n"))
     title = F.when(F.col("source") == "src5", F.lit("")).when(F.col("source") != "src6", F.col("lines")[0])
     sections = F.transform(
         F.slice(F.col("lines"), F.lit(2), F.size("lines")), lambda s: F.when(s != "", s)

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.session import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents with the given columns, spread over the cores for per-row text work."""
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(*columns) if columns else docs, "doc_id")
+
+
 def registered() -> dict[str, Query]:
     from folioscope.plans import load_all
 

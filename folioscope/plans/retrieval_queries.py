@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import retrieval as O
 from folioscope.plans import sqltext as S
-from folioscope.plans.registry import query, table
+from folioscope.plans.registry import query, table, texts
 from folioscope.plans.vector_queries import vectors
 
 # Prior phrases: the distinct content words of the benchmark texts with at least five letters.
@@ -35,13 +35,13 @@ def relevant(spark, sf_dir):
 
 
 def ranking(spark, sf_dir):
-    ranked = O.prior_phrase_rank(table(spark, sf_dir, "documents"), prior_phrases(spark, sf_dir))
+    ranked = O.prior_phrase_rank(texts(spark, sf_dir, "doc_id", "text"), prior_phrases(spark, sf_dir))
     return O.mark_relevant(ranked, relevant(spark, sf_dir))
 
 
 @query("prior_phrase_rank", f"WITH {RANKED} SELECT doc_id, score, rank FROM ranking")
 def prior_phrase_rank(spark, sf_dir):
-    return O.prior_phrase_rank(table(spark, sf_dir, "documents"), prior_phrases(spark, sf_dir))
+    return O.prior_phrase_rank(texts(spark, sf_dir, "doc_id", "text"), prior_phrases(spark, sf_dir))
 
 
 @query(

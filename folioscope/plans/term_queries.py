@@ -11,7 +11,7 @@ from folioscope.operators import embedding as E
 from folioscope.operators import stemming as ST
 from folioscope.operators import terms as M
 from folioscope.plans import sqltext as S
-from folioscope.plans.registry import query, table
+from folioscope.plans.registry import query, table, texts
 
 # Document attributes drawn from the tables: a priced order stands for a document, its parts' brands are
 # keywords, its suppliers authors, its part types subject headings and its priority the publication type.
@@ -33,8 +33,7 @@ def attribute_docs(spark, sf_dir):
 
 
 def document_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs, M.token_rows(docs)
+    return table(spark, sf_dir, "documents"), M.token_rows(texts(spark, sf_dir, "doc_id", "text"))
 
 
 COUNTS = f"""{S.filtered_rows('documents')},
@@ -198,7 +197,7 @@ COMBINED_MIN = 1.6
     SELECT i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {COMBINED_MIN}""",
 )
 def combined_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     titles = docs.select("doc_id", F.split("text", "\n")[0].alias("text"))
     parts = {
         "title": M.tfidf(M.token_rows(titles), titles),
@@ -245,7 +244,7 @@ ATTENTION_LENGTH = 9
     JOIN sw c ON c.sid = a.sid AND c.term <> a.attention JOIN voc ON voc.term = c.term GROUP BY 1, 2, 3""",
 )
 def attention_context_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "doc_id", "text")
     bench = table(spark, sf_dir, "benchmark")
     listed = bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
     listed = listed.filter(F.length("phrase") >= ATTENTION_LENGTH).distinct()

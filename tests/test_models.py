@@ -212,3 +212,12 @@ def test_embedding_and_layout(spark):
     assert E.layout_2d(found).columns == ["doc_id", "x", "y"]
     with pytest.raises(ValueError, match="raise min_count"):
         E.check_vocabulary(words, 1, limit=3)
+
+
+def test_both_ways_of_counting_phrases_agree(spark):
+    docs = spark.createDataFrame([(1, "ananananas an ana"), (2, None), (3, "nothing")], "doc_id long, text string")
+    listed = spark.createDataFrame([("anan",), ("an",), ("nas an",), ("",)], "phrase string")
+    expected = {1: 2 + 6 + 1, 2: 0, 3: 0}
+    assert {r["doc_id"]: r["score"] for r in O.prior_phrase_score(docs, listed).collect()} == expected
+    columns = O.phrase_score_by_columns(docs.fillna("", ["text"]), listed.filter("phrase <> ''"), "doc_id", "text")
+    assert {r["doc_id"]: r["score"] for r in columns.collect()} == expected
