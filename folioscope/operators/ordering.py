@@ -17,7 +17,10 @@ ROW_BITS = (1 << 33) - 1
 
 
 def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The shuffle width, but no more than four ranges per core: every range becomes a file."""
+    session = df.sparkSession
+    width = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(width, 4 * session.sparkContext.defaultParallelism))
 
 
 def _in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
