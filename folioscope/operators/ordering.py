@@ -37,9 +37,10 @@ def _in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def _offsets(rows: DataFrame, total: Column) -> DataFrame:
+    """What lies before each partition: one row per partition of ``_in_order``, hence safe to broadcast."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("_part").agg(total.alias("_total"))
-    return totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    return F.broadcast(totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before")))
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", start: int = 1) -> DataFrame:

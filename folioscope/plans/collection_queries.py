@@ -99,12 +99,12 @@ def without(spark, sf_dir):
 @query(
     "zip",
     f"""WITH {WORDS}, s AS (SELECT doc_id AS conv_id, string_split(text, ' ') AS x FROM documents),
-    z AS (SELECT conv_id, turn, unnest(list_zip(w, x)) AS p FROM t JOIN s USING (conv_id) WHERE turn = 0)
+    z AS (SELECT conv_id, turn, unnest(list_zip(w, x)) AS p FROM t JOIN s USING (conv_id))
     SELECT conv_id, turn, coalesce(p[1], '~') AS a, coalesce(p[2], '~') AS b, count(*) AS times FROM z GROUP BY ALL""",
 )
 def zip_lists(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.split("text", " ").alias("x"))
-    paired = words(spark, sf_dir).filter("turn = 0").join(docs, "conv_id")
+    paired = words(spark, sf_dir).join(docs, "conv_id")
     rows = paired.select("conv_id", "turn", F.explode(F.arrays_zip("w", "x")).alias("p")).select(
         "conv_id", "turn", F.coalesce("p.w", F.lit("~")).alias("a"), F.coalesce("p.x", F.lit("~")).alias("b")
     )
