@@ -62,7 +62,8 @@ def term_counts(
     """Term frequency per document over the pruned vocabulary."""
     counts = raw_counts(rows, key)
     vocab = vocabulary(counts, count_rows(docs), min_df, max_df)
-    return vocab_lookup(counts, vocab).select(key, "term", "tf")
+    # an inner join: a semi join would be pushed below the counting and tokenize the texts a second time
+    return counts.join(vocab.select("term"), "term").select(key, "term", "tf")
 
 
 def l2_by_document(weights: DataFrame, key: str = "doc_id", weight: str = "weight") -> DataFrame:

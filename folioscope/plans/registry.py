@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents with the given columns, spread over the cores for per-row text work."""
     docs = table(spark, sf_dir, "documents")
-    return spread(docs.select(*columns) if columns else docs, "doc_id")
+    return spread(docs.select(*columns) if columns else docs)
 
 
 def registered() -> dict[str, Query]:
