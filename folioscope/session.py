@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+PACKAGE_FOLDER = os.path.dirname(os.path.abspath(__file__))
+
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "folioscope", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +34,30 @@ def build_session(app: str = "folioscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def package_zip() -> bytes:
+    """The package's modules as a zip from which Python workers can import."""
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(PACKAGE_FOLDER)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(PACKAGE_FOLDER)))
+    return packed.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each application; the driver serves the file."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="folioscope-"), "folioscope.zip")
+    with open(path, "wb") as out:
+        out.write(package_zip())
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the session names; fall back to a scratch one in local mode only."""
     context = spark.sparkContext
@@ -45,8 +74,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the checkpoint folder, which its file system deletes when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files behind ``df``, a table from ``cut_lineage`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in sorted({os.path.dirname(name) for name in df.inputFiles()}):
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
