@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe
+from folioscope.llm import byte_bpe, sharding, twins, url_filters
 
+SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -16,14 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(twins.URL_RULES, "host string, path string, verdict string")
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS)
+    law = {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    return placed.withColumns(law).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_byte_bpe": op6_byte_bpe}
+    return {run.__name__: run for run in (op4_url_filters, op5_sharding, op6_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": twins.URL_FILTERS}
