@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, sharding, twins, url_filters
+from folioscope.llm import byte_bpe, language_id, secret_scans, sharding, twins, url_filters
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,8 +35,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    profiles = language_id.learn(docs.filter(remainder != 2))
+    told = language_id.predict(docs.select("doc_id", "text"), profiles)
+    return told.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {run.__name__: run for run in (op4_url_filters, op5_sharding, op6_byte_bpe)}
+    return {run.__name__: run for run in (op4_url_filters, op5_sharding, op6_byte_bpe, op9_secret_scans, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
