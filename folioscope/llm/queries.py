@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import byte_bpe, language_id, secret_scans, sharding, twins, url_filters
+from folioscope.llm import (
+    byte_bpe,
+    decontamination,
+    language_id,
+    license_scans,
+    merkle,
+    secret_scans,
+    sharding,
+    twins,
+    url_filters,
+)
+from folioscope.llm.templates import LICENSES
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(LICENSES, "license_id string, text string")
+    found = license_scans.find_licenses(table(spark, sf_dir, "documents", "doc_id", "text"), templates)
+    return found.select("doc_id", "line", "license_id", "n_shared", "dice")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(twins.URL_RULES, "host string, path string, verdict string")
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
@@ -35,6 +52,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.contained(table(spark, sf_dir, "documents", "doc_id", "text"), items).drop("key")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,9 +73,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+QUERIES = (
+    op1_license_scans,
+    op4_url_filters,
+    op5_sharding,
+    op6_byte_bpe,
+    op7_document_fingerprints,
+    op8_decontamination,
+    op9_secret_scans,
+    op10_language_id,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {run.__name__: run for run in (op4_url_filters, op5_sharding, op6_byte_bpe, op9_secret_scans, op10_language_id)}
+    return {run.__name__: run for run in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": twins.URL_FILTERS}
+    return {
+        "op1_license_scans": twins.LICENSE_SCANS,
+        "op4_url_filters": twins.URL_FILTERS,
+        "op7_document_fingerprints": twins.FINGERPRINTS,
+        "op8_decontamination": twins.DECONTAMINATION,
+    }
