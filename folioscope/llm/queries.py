@@ -16,6 +16,7 @@ from folioscope.llm import (
     merkle,
     secret_scans,
     sharding,
+    simhash,
     twins,
     url_filters,
 )
@@ -35,6 +36,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line", "license_id", "n_shared", "dice")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(twins.URL_RULES, "host string, path string, verdict string")
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
@@ -75,6 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_license_scans,
+    op2_simhash,
     op4_url_filters,
     op5_sharding,
     op6_byte_bpe,
