@@ -17,6 +17,7 @@ from folioscope.llm import (
     secret_scans,
     sharding,
     simhash,
+    substring_dedup,
     twins,
     url_filters,
 )
@@ -40,6 +41,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(twins.URL_RULES, "host string, path string, verdict string")
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
@@ -81,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     op1_license_scans,
     op2_simhash,
+    op3_substring_dedup,
     op4_url_filters,
     op5_sharding,
     op6_byte_bpe,
