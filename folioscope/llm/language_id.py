@@ -18,6 +18,7 @@ often as they occur. Other columns stay, except those the result replaces by nam
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -183,16 +184,26 @@ def nearest(texts: list[str], profiles: Profiles) -> tuple[list[str], list[float
     return names, np.where(sizes > 0, np.round(1 - least, 6), 0.0).tolist()
 
 
-def _predict_step(profiles: Profiles, text: str):
+def _predict_step(profiles: Profiles, text: str, named: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = nearest([t or "" for t in batch.column(text).to_pylist()], profiles)
-            made = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            made = {named[0]: pa.array(names, pa.string()), named[1]: pa.array(scores, pa.float64())}
             yield with_columns(batch, made)
 
     return run
 
 
-def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row, from its text alone."""
-    return through(df, [_predict_step(profiles, text)], schema_with(df, "lang_pred string, score double"))
+def predict(
+    df: DataFrame, profiles: Profiles, text: str = "text", named: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Add the language and its score to every row, from its text alone, under the two names given."""
+    added = f"{named[0]} string, {named[1]} double"
+    return through(df, [_predict_step(profiles, text, named)], schema_with(df, added))
+
+
+def in_known_language(df: DataFrame, least_score: float, language: str = "lang", text: str = "text") -> DataFrame:
+    """The rows that resemble a language learned from ``df`` itself; ``und`` and lower scores go."""
+    predicted, score = (f"_{name}_{uuid.uuid4().hex}" for name in ("language", "score"))
+    told = predict(df, learn(df, language, text), text, (predicted, score))
+    return told.filter((F.col(predicted) != UNKNOWN) & (F.col(score) >= least_score)).select(*df.columns)
