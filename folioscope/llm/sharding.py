@@ -1,11 +1,11 @@
 """Shards of nearly equal bytes for indivisible groups, by Karmarkar-Karp differencing.
 
 A partial partition holds one sum for each shard. Differencing starts with one partial partition for each
-group, and again and again joins the two of the largest spread, one in descending and one in ascending order,
-so that large sums meet small ones. A joined partition is of the same kind as what it was made from, so the
-work is a tree: groups are dealt to blocks of bounded size by a hash, each block is differenced in a task of
-its own, and the blocks' partitions are differenced in turn, ``FAN_IN`` at a time, until one is left. Only
-sums climb the tree; on the way back every group learns its shard.
+item, and again and again joins the two of the largest spread, one in descending and one in ascending order,
+so that large sums meet small ones. Groups larger than a small share of a shard are items of their own; the
+others are bundled by a hash into items of about that share. So the items are a few hundred for each shard at
+most, whatever the number of groups, and one task differences them; only counts and sums of groups are
+shuffled for it. Bundles as small as these leave differencing as much room as single groups would.
 
 Groups are equal texts; a null text counts as the empty one. A group is never split, however large. The size
 of a row is its text's UTF-8 bytes plus 8. Repeated rows are rows of their own. Fewer groups than shards
@@ -15,7 +15,6 @@ leave shards empty; no rows give no rows. Other columns are not returned.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-#: Groups in a block, and partitions joined in one task on the levels above.
-BLOCK_GROUPS, FAN_IN = 8192, 256
+#: Bundles that make up a shard; there are at most as many larger groups, so items are twice this at most.
+BUNDLES = 256
 ROW_OVERHEAD = 8
 ROW_BITS = 33
 
@@ -63,56 +62,31 @@ def difference(sums: np.ndarray) -> np.ndarray:
     return label[: n * k].reshape(n, k)
 
 
-def _groups_to_parts(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("digest", ignore_index=True)
-        sums = np.zeros((len(block), shards), np.int64)
-        sums[:, 0] = block["weight"]
-        return block.assign(part=difference(sums)[:, 0])
+def _placed(shards: int):
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["weight", "item"], ascending=[False, True], ignore_index=True)
+        sums = np.zeros((len(items), shards), np.int64)
+        sums[:, 0] = items["weight"]
+        return pd.DataFrame({"item": items["item"], "shard": difference(sums)[:, 0]})
 
     return run
 
 
-def _parts_to_parts(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        blocks, at = np.unique(rows["block"].to_numpy(), return_inverse=True)
-        sums = np.zeros((len(blocks), shards), np.int64)
-        sums[at, rows["part"]] = rows["weight"]
-        return rows.assign(up_part=difference(sums)[at, rows["part"]])
-
-    return run
-
-
-def shard_of_groups(groups: DataFrame, shards: int) -> DataFrame:
+def shard_of_groups(groups: DataFrame, shards: int, bundles: int = BUNDLES) -> DataFrame:
     """The ``shard`` of every ``digest``, from ``groups`` with a ``weight`` each."""
     groups = cut_lineage(groups)
-    blocks = -(-groups.count() // BLOCK_GROUPS)
-    dealt = groups.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(max(1, blocks))))
-    fields = "digest binary, weight bigint, block bigint, part int"
-    placed = cut_lineage(dealt.groupBy("block").applyInPandas(_groups_to_parts(shards), fields))
-    sums = placed.groupBy("block", "part").agg(F.sum("weight").alias("weight"))
-    climbed = None
-    while blocks > 1:
-        up = sums.withColumn("up", F.floor(F.col("block") / FAN_IN))
-        fields = "block bigint, part int, weight bigint, up bigint, up_part int"
-        step = cut_lineage(up.groupBy("up").applyInPandas(_parts_to_parts(shards), fields))
-        moved = step.select("block", "part", "up", "up_part")
-        if climbed is None:
-            climbed = moved
-        else:
-            above = moved.select(*(F.col(c).alias(f"_{c}") for c in moved.columns))
-            met = climbed.join(above, (F.col("up") == F.col("_block")) & (F.col("up_part") == F.col("_part")))
-            climbed = met.select("block", "part", F.col("_up").alias("up"), F.col("_up_part").alias("up_part"))
-        sums = step.groupBy(F.col("up").alias("block"), F.col("up_part").alias("part")).agg(
-            F.sum("weight").alias("weight")
-        )
-        blocks = -(-blocks // FAN_IN)
-    if climbed is None:
-        return placed.select("digest", F.col("part").alias("shard"))
-    return placed.join(climbed, ["block", "part"]).select("digest", F.col("up_part").alias("shard"))
-
-
-def shard_rows(df: DataFrame, shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    total = groups.agg(F.sum("weight")).first()[0] or 0
+    share = max(1, -(-total // (shards * bundles)))
+    bundle = F.pmod(F.xxhash64("digest"), F.lit(shards * bundles)).cast("string")
+    named = groups.withColumn("item", F.when(F.col("weight") >= share, F.hex("digest")).otherwise(bundle))
+    items = named.groupBy("item").agg(F.sum("weight").alias("weight"))
+    placed = items.groupBy().applyInPandas(_placed(shards), "item string, shard int")
+    return named.join(F.broadcast(placed), "item").select("digest", "shard")
+
+
+def shard_rows(
+    df: DataFrame, shards: int, id_column: str = "doc_id", text: str = "text", bundles: int = BUNDLES
+) -> DataFrame:
     """Every row's size, checksum, ``shard`` and its gapless ``slot`` in the shard.
 
     A slot is the count of the shard's rows in earlier parts of the scan plus the place among those in the
@@ -130,7 +104,7 @@ def shard_rows(df: DataFrame, shards: int, id_column: str = "doc_id", text: str
     )
     groups = rows.groupBy("digest").agg(F.sum("size").alias("weight"))
     placed = cut_lineage(
-        rows.join(shard_of_groups(groups, shards), "digest").select(
+        rows.join(shard_of_groups(groups, shards, bundles), "digest").select(
             "doc_id", "size", "text_crc32", "shard", "row", F.shiftright("row", ROW_BITS).alias("source_part")
         )
     )
