@@ -126,7 +126,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     session = urls.sparkSession
     width = int(session.conf.get("spark.sql.shuffle.partitions"))
     parts = urls.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict")
-    place = F.concat_ws("\0", host_key(F.col("host")), F.col("path"), F.hex(F.xxhash64(*urls.columns)))
+    place = F.concat_ws("\0", host_key(F.col("host")), F.col("path"), F.hex(F.xxhash64(*parts.columns)))
     pages = parts.withColumns({"_key": place, "_is_rule": F.lit(False)})
     lists = rules.select(
         host_key(lower_ascii(F.col("host"))).alias("_key"),
