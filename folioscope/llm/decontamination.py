@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shingles import joined, plain_words, runs, small_side
+from folioscope.llm.shingles import held, joined, plain_words, runs, small_side
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -72,10 +72,8 @@ def contained(
     met = values.join(small_side(named.distinct()), "value").select("key", "item_key").distinct()
     known = listed.withColumn("item_key", F.xxhash64(F.struct("item_id", "shingles")))
     candidates = met.join(known, "item_key")
-    pairs = rows.join(candidates, "key").withColumn("words", plain_words(F.col("text")))
-    shared = pairs.withColumn(
-        "n_shared", F.size(F.array_intersect("shingles", runs(F.col("words"), WORDS, joined)))
-    )
+    pairs = held(rows.join(candidates, "key"), "words", plain_words(F.col("text")))
+    shared = held(pairs, "n_shared", F.size(F.array_intersect("shingles", runs(F.col("words"), WORDS, joined))))
     return shared.filter(F.col("n_shared") >= F.ceil(F.round(F.col("n_shingles") * threshold, 6))).select(
         "doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"), "key"
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shingles import joined, plain_words, runs, small_side
+from folioscope.llm.shingles import held, joined, plain_words, runs, small_side
 
 THRESHOLD = 0.8
 
@@ -61,7 +61,7 @@ def find_licenses(
     units = rows.select("doc_id", "row", F.explode(_units(F.col("lines"))).alias("unit"))
     # a unit has fewer distinct bigrams than words, so short ones can go by their words already
     long_enough = units.select("doc_id", "row", "unit.line", "unit.words").filter(F.size("words") > least)
-    cut = long_enough.withColumn("bigrams", F.array_distinct(runs(F.col("words"), 2, joined)))
+    cut = held(long_enough, "bigrams", F.array_distinct(runs(F.col("words"), 2, joined)))
     sized = cut.select("doc_id", "row", "line", F.size("bigrams").alias("unit_size"), "bigrams")
     spread = sized.filter(F.col("unit_size").between(least, most)).select(
         "doc_id", "row", "line", "unit_size", F.explode("bigrams").alias("bigram")

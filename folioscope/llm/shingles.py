@@ -31,6 +31,15 @@ def joined(*words: Column) -> Column:
     return F.concat_ws(" ", *words)
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that later filters cannot compute anew.
+
+    The optimizer puts a projected expression into every place that reads it below a filter, even into a
+    function applied to each element; what a generator gives stays as it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
