@@ -210,7 +210,7 @@ def simhash_groups(
     id among them.
     """
     rows = cut_lineage(with_fingerprints(df.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), "text", words))
-    grouped = rows.join(_classes(rows, F.col("doc_id"), radius), "fp")
+    grouped = rows.join(cut_lineage(_classes(rows, F.col("doc_id"), radius)), "fp")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return grouped.select("doc_id", shown.alias("fingerprint"), F.col("chosen").alias("component_id"))
 
