@@ -90,6 +90,18 @@ def tokens_simple(text: Column, dropped: Sequence[str] = DROPPED_TOKENS, longest
     return F.replace(F.array_join(kept, " "), F.lit(" ."), F.lit("."))
 
 
+def ngrams(words: Column, sizes: Sequence[int]) -> Column:
+    """All runs of the given numbers of words, joined by blanks. ``words`` is to be a plain column."""
+
+    def of(size: int) -> Column:
+        none = F.array().cast("array<string>")
+        starts = F.sequence(F.lit(0), F.size(words) - size)
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+        return F.when(F.size(words) >= size, words if size == 1 else runs).otherwise(none)
+
+    return F.concat(*[of(size) for size in sizes])
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text: cut at end marks, trimmed, blank ones dropped."""
     parts = F.transform(F.split(text, r"[.?!]"), strip_blanks)

@@ -13,7 +13,6 @@ from folioscope.operators import topics as O
 from folioscope.plans.graph_queries import quantity_edges
 from folioscope.operators import graph as G
 from folioscope.plans.registry import query, table, texts
-from folioscope.plans.term_queries import ATTENTION_LENGTH
 from folioscope.plans.vector_queries import vectors
 
 
@@ -91,7 +90,6 @@ def doc_embedding_sentences(spark, sf_dir):
 def doc_embedding_attention(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
     listed = bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
-    listed = listed.filter(F.length("phrase") >= ATTENTION_LENGTH)
     pairs = E.attention_context_pairs(E.sentence_words(documents(spark, sf_dir)), listed)
     return E.doc_embedding_sentences(
         parts(spark, sf_dir), ["title", "abstract"], extra=E.attention_sentences(pairs)

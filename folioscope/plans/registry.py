@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.session import spread
-
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -39,9 +37,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The documents with the given columns, spread over the cores for per-row text work."""
+    """The documents with the given columns."""
     docs = table(spark, sf_dir, "documents")
-    return spread(docs.select(*columns) if columns else docs)
+    return docs.select(*columns) if columns else docs
 
 
 def registered() -> dict[str, Query]:

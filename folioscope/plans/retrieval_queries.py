@@ -10,13 +10,16 @@ from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query, table, texts
 from folioscope.plans.vector_queries import vectors
 
-# Prior phrases: the distinct content words of the benchmark texts with at least five letters.
-PRIOR = f"""{S.filtered_rows('benchmark', key='item_id')},
-prior AS (SELECT DISTINCT term AS phrase FROM term_rows WHERE length(term) >= 5)"""
+# Documents taken in each round of feedback, whatever the size of the corpus.
+FEEDBACK_BATCH = 25
+
+# Prior phrases: the distinct content words of the benchmark texts.
+PRIOR = f"""{S.filtered_rows('documents').replace('term_rows', 'doc_terms').replace('bare_rows', 'doc_bare')
+  .replace('toks', 'doc_toks').replace('tok ', 'doc_tok ').replace('FROM tok', 'FROM doc_tok')},
+{S.filtered_rows('benchmark', key='item_id')},
+prior AS (SELECT DISTINCT term AS phrase FROM term_rows)"""
 RANKED = f"""{PRIOR},
-hits AS (
-  SELECT doc_id, phrase, CAST((length(text) - length(replace(text, phrase, ''))) / length(phrase) AS BIGINT) AS n
-  FROM documents, prior WHERE contains(text, phrase)),
+hits AS (SELECT doc_id, phrase, count(*) AS n FROM doc_terms JOIN prior ON term = phrase GROUP BY 1, 2),
 scores AS (SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS score
   FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id GROUP BY d.doc_id),
 ranking AS (
@@ -26,8 +29,8 @@ ranking AS (
 
 
 def prior_phrases(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
-    return words.filter(F.length("phrase") >= 5).distinct()
+    bench = table(spark, sf_dir, "benchmark")
+    return bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase")).distinct()
 
 
 def relevant(spark, sf_dir):
@@ -101,4 +104,4 @@ def feedback_ranking(spark, sf_dir):
     # the seed: documents in the order of their first component, up to the first relevant one
     order = O.global_rank(docs.select("doc_id", "relevant", F.col("vector")[0].alias("x")),
                           [F.col("x").desc(), F.col("doc_id")], start=0)
-    return O.feedback_ranking(docs, O.seed_until_relevant(order))
+    return O.feedback_ranking(docs, O.seed_until_relevant(order), FEEDBACK_BATCH)

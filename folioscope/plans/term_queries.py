@@ -123,6 +123,15 @@ def vocab_lookup(spark, sf_dir):
 
 MIN_SIM = 0.5
 
+
+def pairs_and_copies(pairs, members):
+    """Pairs of representatives, and for every other document the representative whose vector it has."""
+    copies = members.filter("doc_id <> rep").select(
+        F.lit("copy").alias("kind"), F.col("rep").alias("i"), F.col("doc_id").alias("j"), F.lit(None).cast("double").alias("sim")
+    )
+    return pairs.select(F.lit("pair").alias("kind"), "i", "j", F.round("sim", 6).alias("sim")).unionByName(copies)
+
+
 VECTORS = f"""{TFIDF},
 signed AS (SELECT doc_id, string_agg(term || '=' || round(weight, 9)::VARCHAR, ',' ORDER BY term) AS sig
            FROM tfidf GROUP BY doc_id),
@@ -137,12 +146,12 @@ reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM signed)"
     pairs AS (
       SELECT a.doc_id AS i, b.doc_id AS j, sum(a.weight * b.weight) AS sim
       FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {MIN_SIM}""",
+    SELECT 'pair' AS kind, i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {MIN_SIM}
+    UNION ALL SELECT 'copy', rep, doc_id, NULL FROM reps WHERE doc_id <> rep""",
 )
 def cosine_pairs(spark, sf_dir):
     docs, rows = document_rows(spark, sf_dir)
-    pairs, _ = M.cosine_pairs(M.tfidf(rows, docs), MIN_SIM)
-    return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
+    return pairs_and_copies(*M.cosine_pairs(M.tfidf(rows, docs), MIN_SIM))
 
 
 @query("cosine_copies", f"WITH {VECTORS} SELECT doc_id, rep FROM reps")
@@ -178,35 +187,44 @@ def _unit_twin(name: str, source: str) -> str:
 
 
 COMBINED_MIN = 1.6
+MAIL = "[a-z0-9.]+@[a-z0-9.]+"
 
 
 @query(
     "combined_similarity",
     f"""WITH {FIRST_LINE}, {_unit_twin('title', 'title_docs')}, {_unit_twin('abstract', 'documents')},
+    found AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '{MAIL}')) AS mails FROM documents),
+    authors AS (SELECT doc_id, unnest(mails) AS author, len(mails) AS n FROM found),
     cells AS (
       SELECT doc_id, 'title|' || term AS term, weight * sqrt(0.6) AS weight FROM title_tfidf
       UNION ALL SELECT doc_id, 'abstract|' || term, weight FROM abstract_tfidf
       UNION ALL SELECT doc_id, 'terms|' || source, sqrt(0.5) FROM documents
+      UNION ALL SELECT doc_id, 'authors|' || author, sqrt(0.5) / sqrt(n) FROM authors
       UNION ALL SELECT doc_id, 'pubtypes|' || lang, sqrt(0.4) FROM documents),
     signed AS (SELECT doc_id, string_agg(term || '=' || round(weight, 9)::VARCHAR, ',' ORDER BY term) AS sig
       FROM cells GROUP BY doc_id),
-    reps AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY sig) AS rep FROM signed),
+    reps AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS rep FROM signed),
     v AS (SELECT doc_id, term, round(weight, 9) AS weight FROM cells WHERE doc_id IN (SELECT rep FROM reps)),
     pairs AS (SELECT a.doc_id AS i, b.doc_id AS j, sum(a.weight * b.weight) AS sim
       FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {COMBINED_MIN}""",
+    SELECT 'pair' AS kind, i, j, round(sim, 6) AS sim FROM pairs WHERE round(sim, 6) >= {COMBINED_MIN}
+    UNION ALL SELECT 'copy', rep, doc_id, NULL FROM reps WHERE doc_id <> rep""",
 )
 def combined_similarity(spark, sf_dir):
     docs = texts(spark, sf_dir)
+    # the people a document names are the mail addresses in it
+    authors = docs.select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(MAIL), F.lit(0))).alias("mails"))
     titles = docs.select("doc_id", F.split("text", "\n")[0].alias("text"))
     parts = {
         "title": M.tfidf(M.token_rows(titles), titles),
         "abstract": M.tfidf(M.token_rows(docs), docs),
         "terms": docs.select("doc_id", F.col("source").alias("term"), F.lit(1.0).alias("weight")),
+        "authors": authors.select(
+            "doc_id", F.explode("mails").alias("term"), (1 / F.sqrt(F.size("mails"))).alias("weight")
+        ),
         "pubtypes": docs.select("doc_id", F.col("lang").alias("term"), F.lit(1.0).alias("weight")),
     }
-    pairs, _ = M.combined_similarity(parts, COMBINED_MIN)
-    return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
+    return pairs_and_copies(*M.combined_similarity(parts, COMBINED_MIN))
 
 
 @query(
@@ -222,9 +240,6 @@ def minmax_per_term(spark, sf_dir):
     return scaled.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-ATTENTION_LENGTH = 9
-
-
 @query(
     "attention_context_pairs",
     f"""WITH sent AS (
@@ -238,16 +253,15 @@ ATTENTION_LENGTH = 9
       AND count(*) < 0.5 * (SELECT n FROM n)),
     {S.filtered_rows('benchmark', key='item_id').replace('toks', 'btoks').replace('bare_rows', 'bbare')
       .replace('term_rows', 'bterms').replace('tok ', 'btok ').replace('FROM tok', 'FROM btok')},
-    att AS (SELECT DISTINCT term AS attention FROM bterms WHERE length(term) >= {ATTENTION_LENGTH})
+    att AS (SELECT DISTINCT term AS attention FROM bterms)
     SELECT a.attention, c.term AS context, c.doc_id, count(*) AS times
     FROM (SELECT DISTINCT sid, attention FROM sw JOIN att ON term = attention) a
-    JOIN sw c ON c.sid = a.sid AND c.term <> a.attention JOIN voc ON voc.term = c.term GROUP BY 1, 2, 3""",
+    JOIN sw c ON c.sid = a.sid AND NOT contains(a.attention, c.term) JOIN voc ON voc.term = c.term GROUP BY 1, 2, 3""",
 )
 def attention_context_pairs(spark, sf_dir):
     docs = texts(spark, sf_dir, "doc_id", "text")
     bench = table(spark, sf_dir, "benchmark")
     listed = bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
-    listed = listed.filter(F.length("phrase") >= ATTENTION_LENGTH).distinct()
     pairs = E.attention_context_pairs(E.sentence_words(docs), listed)
     return pairs.groupBy("attention", "context", "doc_id").agg(F.sum("times").alias("times"))
 

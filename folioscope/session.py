@@ -100,13 +100,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores.
-
-    A table read as many splits stays as it is; one read as fewer splits than cores is small enough to be
-    shuffled before per-row text work, which would otherwise run in those few tasks.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -214,10 +214,18 @@ def test_embedding_and_layout(spark):
         E.check_vocabulary(words, 1, limit=3)
 
 
-def test_both_ways_of_counting_phrases_agree(spark):
-    docs = spark.createDataFrame([(1, "ananananas an ana"), (2, None), (3, "nothing")], "doc_id long, text string")
-    listed = spark.createDataFrame([("anan",), ("an",), ("nas an",), ("",)], "phrase string")
-    expected = {1: 2 + 6 + 1, 2: 0, 3: 0}
-    assert {r["doc_id"]: r["score"] for r in O.prior_phrase_score(docs, listed).collect()} == expected
-    columns = O.phrase_score_by_columns(docs.fillna("", ["text"]), listed.filter("phrase <> ''"), "doc_id", "text")
-    assert {r["doc_id"]: r["score"] for r in columns.collect()} == expected
+def test_prior_phrases_are_runs_of_content_words(spark):
+    docs = spark.createDataFrame(
+        [(1, "The heart attack, the heart of an Attack."), (2, None), (3, "nothing"), (4, "")], "doc_id long, text string"
+    )
+    listed = spark.createDataFrame([("heart attack",), ("Heart",), ("heart",), ("",), ("the",), (None,)], "phrase string")
+    scores = {r["doc_id"]: r["score"] for r in O.prior_phrase_score(docs, listed).collect()}
+    assert scores == {1: 4, 2: 0, 3: 0, 4: 0}
+    none = O.prior_phrase_score(docs, listed.filter("phrase = 'the'"))
+    assert {r["score"] for r in none.collect()} == {0}
+
+
+def test_feedback_needs_a_batch(spark):
+    with pytest.raises(ValueError, match="batch"):
+        docs = spark.createDataFrame([(1, [1.0], True)], "doc_id long, vector array<double>, relevant boolean")
+        O.feedback_ranking(docs, docs.selectExpr("doc_id", "0 as rank"), 0)
