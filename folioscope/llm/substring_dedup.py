@@ -238,7 +238,8 @@ def _repeated_pieces(docs: DataFrame, length: int, shard_words: int, anchor_piec
     """``text_hash, text_sum`` of texts that lose words, with the ``ranges`` of these."""
     fields = "text_hash bigint, text_sum bigint, start int, words int, anchor bigint, content bigint"
     pieces = cut_lineage(docs.mapInArrow(_piece_step(length), fields))
-    anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # written, so that the join reads two shuffles and the pieces of a frequent anchor can be split
+    anchors = cut_lineage(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     shared = cut_lineage(pieces.join(anchors, "anchor"))
     drop_table(pieces)
     of = F.struct("text_hash", "text_sum", "start", "words")
