@@ -76,6 +76,8 @@ def hierarchical_clusters(
     assigned = cut_lineage(micro_clusters(docs, micro, key, vector, seed))
     table = assigned.groupBy("micro").agg(mean_vector(vector).alias("mean"), F.count(F.lit(1)).alias("size"))
     rows = table.orderBy("micro").collect()
+    if max(sizes, default=0) > len(rows):
+        raise ValueError(f"{max(sizes)} clusters asked of {len(rows)} micro-clusters; raise micro")
     merges = ward_merges(np.array([r["mean"] for r in rows]), np.array([r["size"] for r in rows]))
     spark = docs.sparkSession
     labels = [

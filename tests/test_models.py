@@ -176,7 +176,7 @@ def term_vectors(spark):
     topics = [["heart", "attack", "valve", "blood"], ["stock", "bond", "market", "price"], ["goal", "team", "match", "ball"]]
     rng = np.random.default_rng(0)
     rows = [(i, [str(w) for w in rng.choice(topics[i % 3], 12)]) for i in range(60)]
-    return TP.tfidf_vectors(spark.createDataFrame(rows, "doc_id long, words array<string>"), topics=3)
+    return TP.tfidf_vectors(spark.createDataFrame(rows, "doc_id long, words array<string>"))
 
 
 def separated(weights):
@@ -229,3 +229,19 @@ def test_feedback_needs_a_batch(spark):
     with pytest.raises(ValueError, match="batch"):
         docs = spark.createDataFrame([(1, [1.0], True)], "doc_id long, vector array<double>, relevant boolean")
         O.feedback_ranking(docs, docs.selectExpr("doc_id", "0 as rank"), 0)
+
+
+def test_topic_limits_are_errors(spark):
+    words = spark.createDataFrame([(i, [f"w{i % 3}", f"v{i % 4}"]) for i in range(20)], "doc_id long, words array<string>")
+    with pytest.raises(ValueError, match="raise min_df"):
+        TP.tfidf_vectors(words, most_words=3)
+    vectors = TP.tfidf_vectors(words)
+    for learn in (TP.topics_lda, TP.topics_nmf):
+        with pytest.raises(ValueError, match="raise min_df"):
+            learn(vectors, topics=TP.MAX_CELLS)
+
+
+def test_more_levels_than_micro_clusters_is_an_error(spark, cloud):
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cloud)], "doc_id long, vector array<double>")
+    with pytest.raises(ValueError, match="raise micro"):
+        H.hierarchical_clusters(docs, [10], micro=2)
