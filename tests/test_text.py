@@ -36,7 +36,7 @@ def test_sentences_and_predicates(spark):
 
 
 def test_phrases_break_and_length(spark):
-    text = "Deep brain stimulation of rats in 3 trials, one two alpha beta gamma delta epsilon zeta"
+    text = "Deep brain stimulation of rats in 3 trials, of the alpha beta gamma delta epsilon zeta"
     assert value(spark, text, P.phrase_array(F.col("t"), 5)) == ["deep brain stimulation", "rats", "trials"]
     assert value(spark, text, P.phrase_array(F.col("t"), 6))[-1] == "alpha beta gamma delta epsilon zeta"
 
