@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame
 
 BatchFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-#: Rows handled at once inside a task, so that memory follows single texts and not Spark's batch size.
-SLICE_ROWS = 256
+#: Rows and bytes handled at once inside a task, so that memory follows single texts, not Spark's batch size.
+SLICE_ROWS, SLICE_BYTES = 256, 256_000
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in order, at most ``SLICE_ROWS`` at a time; empty batches go."""
+    """The rows of ``batches`` in order, few at a time: one, or as many as both bounds hold; empty batches go."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        left = [batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)][::-1]
+        while left:
+            part = left.pop()
+            if part.num_rows == 1 or part.nbytes <= SLICE_BYTES:
+                yield part
+            else:
+                half = part.num_rows // 2
+                left += [part.slice(half), part.slice(0, half)]
 
 
 def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 #: Distinct chunks a worker keeps, and the longest that is kept.
-KEPT_CHUNKS, KEPT_LENGTH = 400_000, 64
+KEPT_CHUNKS, KEPT_LENGTH = 150_000, 64
 
 UNKNOWN = "\ufffd".encode()
 

@@ -41,7 +41,7 @@ LENGTH, GRAM = 35, 8
 #: Words in a shard's index, and distinct pieces of one anchor that a shard takes.
 SHARD_WORDS, ANCHOR_PIECES = 250_000, 2_000
 #: Word hashes a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
