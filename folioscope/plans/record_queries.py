@@ -12,6 +12,7 @@ from folioscope.plans.registry import query, table, texts
 from folioscope.plans.term_queries import TFIDF, document_rows
 from folioscope.plans.vector_queries import vectors
 from folioscope.operators import graph as G
+from folioscope.operators.ordering import global_rank
 from folioscope.session import scratch_path
 from folioscope.sources import readers, records as R, writers
 
@@ -238,11 +239,10 @@ def read_phrase_list(spark, sf_dir):
 )
 def read_xy_layout(spark, sf_dir):
     path = scratch_path(spark, "layout")
-    rows = vectors(spark, sf_dir).orderBy("doc_id")
+    rows = global_rank(vectors(spark, sf_dir).select("doc_id", "vector"), [F.col("doc_id")], "idx", start=0)
     v = F.col("vector")
-    # a layout file is one ordered file
-    rows.select(F.format_string("%.8f %.8f", v[0], v[1]).alias("value")).coalesce(1).write.text(path)
-    found = readers.read_xy_layout(spark, path)
+    rows.select(F.format_string("%d %.8f %.8f", "idx", v[0], v[1]).alias("value")).write.text(path)
+    found = readers.read_xy_layout(spark, path, numbered=True)
     return found.select("idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -287,14 +287,13 @@ def read_graph_xml(spark, sf_dir):
 
 @query(
     "write_matrix_text",
-    f"""WITH {TFIDF} SELECT doc_id, count(*) AS cells FROM tfidf GROUP BY doc_id""",
+    f"""WITH {TFIDF} SELECT doc_id, term, round(weight, 2) AS value FROM tfidf""",
 )
 def write_matrix_text(spark, sf_dir):
     docs, rows = document_rows(spark, sf_dir)
     path = scratch_path(spark, "matrix")
     writers.write_matrix_text(terms.tfidf(rows, docs), path)
-    cells = spark.read.csv(path, sep=" ", schema="doc_id bigint, term string, value double")
-    return cells.groupBy("doc_id").agg(F.count("value").alias("cells"))
+    return spark.read.csv(path, sep=" ", schema="doc_id bigint, term string, value double")
 
 
 @query(

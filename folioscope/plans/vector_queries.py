@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import vectors as V
 from folioscope.operators import vectors as O
 from folioscope.plans.registry import query, table
+from folioscope.session import scratch_path
+from folioscope.sources import writers
 
 
 def vectors(spark, sf_dir):
@@ -186,7 +188,10 @@ def vector_arith(spark, sf_dir):
     "vector_predicates",
     PAIRED + """ SELECT doc_id, abs(list_cosine_similarity(v, mv)) <= 0.000001
         / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(mv, mv))) AS perpendicular,
-      true AS equal_self, false AS equal_mean, true AS parallel_double, true AS antiparallel_negative FROM pair""",
+      list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - v[i] * 1.0))) <= 0.000001 AS equal_self,
+      list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - mv[i]))) <= 0.000001 AS equal_mean,
+      list_cosine_similarity(v, list_transform(v, lambda x: x * 2.0)) > 0.999999 AS parallel_double,
+      list_cosine_similarity(v, list_transform(v, lambda x: -x)) < -0.999999 AS antiparallel_negative FROM pair""",
 )
 def vector_predicates(spark, sf_dir):
     v, m = F.col("vector"), F.col("m")
@@ -242,9 +247,9 @@ def pairwise_distance(spark, sf_dir):
     f"""WITH {VEC} SELECT dim, doc_id, round(x, 6) + 0.0 AS value FROM cell""",
 )
 def write_vectors_by_doc(spark, sf_dir):
-    from folioscope.sources.writers import vectors_by_dimension
-
-    rows = vectors_by_dimension(vectors(spark, sf_dir))
+    path = scratch_path(spark, "by-doc")
+    writers.write_vectors_by_doc(vectors(spark, sf_dir), path)
+    rows = spark.read.csv(path, header=True, schema="doc_id bigint, value double, dim int")
     return rows.select(F.col("dim").cast("bigint").alias("dim"), "doc_id", r6(F.col("value")).alias("value"))
 
 
@@ -254,7 +259,8 @@ def write_vectors_by_doc(spark, sf_dir):
     FROM vec""",
 )
 def write_vectors_by_dim(spark, sf_dir):
-    from folioscope.sources.writers import vectors_as_columns
-
-    wide = vectors_as_columns(vectors(spark, sf_dir), 64)
+    path = scratch_path(spark, "by-dim")
+    writers.write_vectors_by_dim(vectors(spark, sf_dir), path, 64)
+    fields = ", ".join(["doc_id bigint", *(f"dimension{i} double" for i in range(64))])
+    wide = spark.read.csv(path, header=True, schema=fields)
     return wide.select("doc_id", *[r6(F.col(f"dimension{i}")).alias(f"dimension{i}") for i in range(64)])

@@ -48,15 +48,22 @@ def read_phrase_list(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path, "phrase")
 
 
-def read_xy_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (idx, x, y) of a layout file, numbered by line.
+def read_xy_layout(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Rows (idx, x, y) of a layout.
 
-    A single text file is split in order, so the increasing id follows the lines; the rank makes it dense.
+    With ``numbered``, every line starts with its number, and there may be any number of files. Otherwise it
+    is a single file, numbered by line: its splits are in order, so the increasing id follows the lines, and
+    the rank makes it dense.
     """
     from folioscope.operators.ordering import global_rank
 
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    lines = spark.read.text(path)
     parts = F.split(F.trim("value"), r"\s+")
+    if numbered:
+        return lines.filter(F.length(F.trim("value")) > 0).select(
+            parts[0].cast("bigint").alias("idx"), parts[1].cast("double").alias("x"), parts[2].cast("double").alias("y")
+        )
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
     cells = lines.filter(F.length(F.trim("value")) > 0).select(
         "_at", parts[0].cast("double").alias("x"), parts[1].cast("double").alias("y")
     )
