@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.batches import schema_with, slices, through, with_columns
+from folioscope.session import cut_lineage
 
 PROFILE = 300
 UNKNOWN = "und"
@@ -36,6 +37,9 @@ MAX_LANGUAGES = 20_000
 #: Distinct n-grams a task holds before it hands its counts on.
 HELD_GRAMS = 1_000_000
 
+#: Bounds for clean texts: the share of this quantile of their scores, in classes of length with as many rows.
+LOW, MARGIN, CLASS_ROWS = 0.01, 0.75, 100
+
 CODE_BITS = 21
 #: What stands in the first character's place for n-grams of one and of two characters.
 ONE, TWO = (1 << CODE_BITS) - 1, (1 << CODE_BITS) - 2
@@ -202,8 +206,32 @@ def predict(
     return through(df, [_predict_step(profiles, text, named)], schema_with(df, added))
 
 
+def least_scores(told: DataFrame, language: str, text: str, predicted: str, score: str) -> DataFrame:
+    """``name``, ``length`` and ``bound``: the least score of clean texts of each language and class of length.
+
+    A class holds texts up to twice as long as its shortest. The bound is ``MARGIN`` of a low quantile of the labelled rows that
+    were recognised; a class of few such rows has none of its own. ``length`` is null for a language's whole.
+    """
+    sized = told.filter(F.col(language) == F.col(predicted)).select(
+        F.col(predicted).alias("name"), F.length(F.bin(F.length(text))).alias("length"), F.col(score).alias("score")
+    )
+    low = F.percentile_approx("score", F.lit(LOW), F.lit(10_000))
+    sums = sized.rollup("name", "length").agg((low * MARGIN).alias("bound"), F.count(F.lit(1)).alias("n"))
+    return sums.filter(F.col("name").isNotNull() & (F.col("length").isNull() | (F.col("n") >= CLASS_ROWS))).drop("n")
+
+
 def in_known_language(df: DataFrame, least_score: float, language: str = "lang", text: str = "text") -> DataFrame:
-    """The rows that resemble a language learned from ``df`` itself; ``und`` and lower scores go."""
-    predicted, score = (f"_{name}_{uuid.uuid4().hex}" for name in ("language", "score"))
+    """The rows that resemble a language learned from ``df`` itself.
+
+    ``und`` goes, and what scores below the bound of its language and length (``least_scores``), or ``least_score``.
+    """
+    predicted, score, name, length, bound, whole = (f"_{n}_{uuid.uuid4().hex}" for n in ("language", "score", "name", "length", "bound", "whole"))
     told = predict(df, learn(df, language, text), text, (predicted, score))
-    return told.filter((F.col(predicted) != UNKNOWN) & (F.col(score) >= least_score)).select(*df.columns)
+    bounds = cut_lineage(least_scores(told, language, text, predicted, score))
+    by_class = bounds.filter("length is not null").toDF(name, length, bound)
+    by_language = bounds.filter("length is null").select(F.col("name").alias(f"{name}w"), F.col("bound").alias(whole))
+    same = (F.col(predicted) == F.col(name)) & (F.length(F.bin(F.length(F.col(text)))) == F.col(length))
+    judged = told.filter(F.col(predicted) != UNKNOWN).join(F.broadcast(by_class), same, "left")
+    judged = judged.join(F.broadcast(by_language), F.col(predicted) == F.col(f"{name}w"), "left")
+    least = F.greatest(F.coalesce(F.col(bound), F.col(whole)), F.lit(least_score))
+    return judged.filter(F.col(score) >= least).select(*(F.col(f"`{c}`") for c in df.columns))
