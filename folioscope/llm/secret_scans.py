@@ -3,8 +3,8 @@
 Fixed patterns find assignments to credential names, cloud access keys and long hexadecimal runs. Beyond
 these, a value that stands in a credential context (a wider set of names, followed by ``:``, ``=``, ``->`` or
 ``is``) is reported as ``guess`` if guessing it is costly. The cost comes from dynamic programming over the
-value: the cheapest cut into dictionary words (by list position, with the usual letter substitutes), dates,
-repeats, keyboard walks and brute-force characters, as decimal logarithms of guesses that add up along the
+value: the cheapest cut into dictionary words (by list position, with the usual letter substitutes; passwords and function
+words, then the whole words of public vocabularies, most frequent first), dates, repeats, keyboard walks and brute-force characters, as decimal logarithms of guesses that add up along the
 value. A guessed value that overlaps a span of a fixed pattern is not reported again.
 
 Spans count code points, ends exclusive. A null text counts as empty and has no spans. Texts and values are
@@ -14,11 +14,15 @@ not; other columns stay, except those the result replaces by name.
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -63,11 +67,38 @@ KEY_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdef
 SUBSTITUTES = str.maketrans("@4301!$57", "aaeoiisst")
 
 WORD_COST = {word: math.log10(place + 2) for place, word in reversed([*enumerate((*COMMON, *FUNCTION_WORDS))])}
-LONGEST_WORD = max(map(len, WORD_COST))
+#: Public vocabularies in order of frequency, and the one that marks word ends instead of starts; shorter words are left out.
+RANKED, ENDED, LEAST_LETTERS = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"), "word_bpe_49k.json", 4
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 YEARS, DAYS, SEPARATORS = 120, 365, 4
 
 
+def _public_words() -> Iterator[tuple[int, str]]:
+    """Place and text of the whole words in the public vocabularies."""
+    for name in RANKED:
+        with open(public_tokenizers.path(name), "rb") as lines:
+            for place, line in enumerate(lines):
+                token = base64.b64decode(line.split()[0]).decode(errors="replace")
+                if token.startswith(" "):
+                    yield place, token[1:].lower()
+    with open(public_tokenizers.path(ENDED), encoding="utf-8") as file:
+        for token, place in json.load(file)["model"]["vocab"].items():
+            if token.endswith("</w>"):
+                yield place, token.removesuffix("</w>")
+
+
+@functools.lru_cache(maxsize=1)
+def word_costs() -> tuple[dict[str, float], int]:
+    """The cost of every dictionary word, and the length of the longest."""
+    places: dict[str, int] = {}
+    for place, word in _public_words():
+        if len(word) >= LEAST_LETTERS and word.isalpha() and word not in WORD_COST:
+            places[word] = min(place, places.get(word, place))
+    ranked = sorted(places, key=lambda w: (places[w], w))
+    costs = {word: math.log10(place + 2) for place, word in enumerate(ranked, len(WORD_COST))} | WORD_COST
+    return costs, max(map(len, costs))
+
+
 def _neighbours() -> set[tuple[str, str]]:
     steps = {(a, b) for row in KEY_ROWS for a, b in zip(row, row[1:])}
     return steps | {(b, a) for a, b in steps}
@@ -85,12 +116,13 @@ def guess_cost(value: str) -> float:
     for start in range(size):
         if value[start].isdigit() and (found := DATE.match(value, start)):
             dates.setdefault(found.end(), []).append(start)
+    costs, longest = word_costs()
     best = [0.0] + [math.inf] * size
     walk = run = 1
     for end in range(1, size + 1):
         best[end] = best[end - 1] + 1.0
-        for start in range(max(0, end - LONGEST_WORD), end - 1):
-            cost = min(WORD_COST.get(lowered[start:end], math.inf), WORD_COST.get(plain[start:end], math.inf) + math.log10(2))
+        for start in range(max(0, end - longest), end - 1):
+            cost = min(costs.get(lowered[start:end], math.inf), costs.get(plain[start:end], math.inf) + math.log10(2))
             if value[start:end] != lowered[start:end]:
                 cost += math.log10(2)
             best[end] = min(best[end], best[start] + cost)
