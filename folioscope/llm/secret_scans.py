@@ -15,15 +15,19 @@ not; other columns stay, except those the result replaces by name.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 import json
 import math
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from folioscope.functions.words import FUNCTION_WORDS
@@ -87,16 +91,31 @@ def _public_words() -> Iterator[tuple[int, str]]:
                 yield place, token.removesuffix("</w>")
 
 
+@dataclass(frozen=True)
+class Words:
+    """Costs of dictionary words by 64-bit hashes, in order, so that a worker needs 16 bytes a word."""
+
+    hashes: array
+    costs: array
+    longest: int
+
+    def cost(self, word: str) -> float:
+        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        at = bisect.bisect_left(self.hashes, key)
+        return self.costs[at] if at < len(self.hashes) and self.hashes[at] == key else math.inf
+
+
 @functools.lru_cache(maxsize=1)
-def word_costs() -> tuple[dict[str, float], int]:
-    """The cost of every dictionary word, and the length of the longest."""
+def dictionary() -> Words:
+    """The dictionary, read from the public vocabularies; the driver sends it with its tasks."""
     places: dict[str, int] = {}
     for place, word in _public_words():
         if len(word) >= LEAST_LETTERS and word.isalpha() and word not in WORD_COST:
             places[word] = min(place, places.get(word, place))
     ranked = sorted(places, key=lambda w: (places[w], w))
     costs = {word: math.log10(place + 2) for place, word in enumerate(ranked, len(WORD_COST))} | WORD_COST
-    return costs, max(map(len, costs))
+    rows = sorted((xxhash.xxh64_intdigest(word.encode()), cost) for word, cost in costs.items())
+    return Words(array("Q", [h for h, _ in rows]), array("d", [c for _, c in rows]), max(map(len, costs)))
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -107,7 +126,7 @@ def _neighbours() -> set[tuple[str, str]]:
 NEIGHBOURS = _neighbours()
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words | None = None) -> float:
     """Decimal logarithm of the guesses for ``value``: the least sum of costs over all ways to cut it."""
     size = len(value)
     lowered = value.lower() if len(value.lower()) == size else value
@@ -116,13 +135,13 @@ def guess_cost(value: str) -> float:
     for start in range(size):
         if value[start].isdigit() and (found := DATE.match(value, start)):
             dates.setdefault(found.end(), []).append(start)
-    costs, longest = word_costs()
+    words = words or dictionary()
     best = [0.0] + [math.inf] * size
     walk = run = 1
     for end in range(1, size + 1):
         best[end] = best[end - 1] + 1.0
-        for start in range(max(0, end - longest), end - 1):
-            cost = min(costs.get(lowered[start:end], math.inf), costs.get(plain[start:end], math.inf) + math.log10(2))
+        for start in range(max(0, end - words.longest), end - 1):
+            cost = min(words.cost(lowered[start:end]), words.cost(plain[start:end]) + math.log10(2))
             if value[start:end] != lowered[start:end]:
                 cost += math.log10(2)
             best[end] = min(best[end], best[start] + cost)
@@ -141,17 +160,17 @@ def guess_cost(value: str) -> float:
     return best[size]
 
 
-def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[str, int, int, int, float]]:
+def scan(text: str, min_guesses: float = MIN_GUESSES, words: Words | None = None) -> list[tuple[str, int, int, int, float]]:
     """Spans of one text by start, then kind: kind, start, end, start of the value, cost of the value."""
     lowered = text.lower()
     spans = []
     if any(cue in lowered for cue in ASSIGN_CUES):
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= ASSIGN_LENGTH:
-                spans.append(("assign", m.start(), m.end(), m.start(2), guess_cost(m[2])))
+                spans.append(("assign", m.start(), m.end(), m.start(2), guess_cost(m[2], words)))
     if "AKIA" in text:
-        spans += [("access", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in ACCESS.finditer(text)]
-    spans += [("hex", m.start(), m.end(), m.start(), guess_cost(m[0])) for m in HEX.finditer(text)]
+        spans += [("access", m.start(), m.end(), m.start(), guess_cost(m[0], words)) for m in ACCESS.finditer(text)]
+    spans += [("hex", m.start(), m.end(), m.start(), guess_cost(m[0], words)) for m in HEX.finditer(text)]
     if any(cue in lowered for cue in CUES):
         taken = sorted((start, end) for _, start, end, _, _ in spans)
         for m in CONTEXT.finditer(text):
@@ -159,7 +178,7 @@ def scan(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[str, int, in
             start, end = m.start(1), m.start(1) + len(value)
             if len(value) < ASSIGN_LENGTH or any(a < end and start < b for a, b in taken):
                 continue
-            if (cost := guess_cost(value)) >= min_guesses:
+            if (cost := guess_cost(value, words)) >= min_guesses:
                 spans.append(("guess", start, end, start, cost))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -171,11 +190,13 @@ SPANS = "secrets array<struct<kind:string,start:int,end:int,value_start:int,cost
 
 
 def _scan_step(text: str, min_guesses: float):
+    words = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.name for field in SPAN_TYPE]
         for batch in batches:
             found = [
-                [dict(zip(names, span)) for span in scan(t or "", min_guesses)] for t in batch.column(text).to_pylist()
+                [dict(zip(names, span)) for span in scan(t or "", min_guesses, words)] for t in batch.column(text).to_pylist()
             ]
             yield with_columns(batch, {"secrets": pa.array(found, pa.list_(SPAN_TYPE))})
 
@@ -198,9 +219,11 @@ def redacted(text: str, spans: list[tuple[str, int, int, int, float]], mark: str
 
 
 def _redact_step(text: str, min_guesses: float):
+    words = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [t if t is None else redacted(t, scan(t, min_guesses)) for t in batch.column(text).to_pylist()]
+            kept = [t if t is None else redacted(t, scan(t, min_guesses, words)) for t in batch.column(text).to_pylist()]
             columns = {name: batch.column(name) for name in batch.schema.names}
             yield pa.RecordBatch.from_pydict(columns | {text: pa.array(kept, pa.string())})
 
