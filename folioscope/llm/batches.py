@@ -13,13 +13,16 @@ BatchFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SLICE_ROWS, SLICE_BYTES = 256, 256_000
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterator[pa.RecordBatch], rows: int | None = None, size: int | None = None
+) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, few at a time: one, or as many as both bounds hold; empty batches go."""
+    rows, size = rows or SLICE_ROWS, size or SLICE_BYTES
     for batch in batches:
-        left = [batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)][::-1]
+        left = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
         while left:
             part = left.pop()
-            if part.num_rows == 1 or part.nbytes <= SLICE_BYTES:
+            if part.num_rows == 1 or part.nbytes <= size:
                 yield part
             else:
                 half = part.num_rows // 2
@@ -32,14 +35,14 @@ def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_pydict(kept | added)
 
 
-def through(df: DataFrame, steps: list[BatchFn], schema: str) -> DataFrame:
-    """Send the rows through ``steps``, one after the other, in one pass of Python workers."""
+def through(df: DataFrame, steps: list[BatchFn], schema: str, rows: int | None = None, size: int | None = None) -> DataFrame:
+    """Send the rows through ``steps``, one after the other, in one pass of Python workers, sliced to ``rows`` and ``size`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = slices(batches)
+        made = slices(batches, rows, size)
         for step in steps:
-            rows = step(rows)
-        return rows
+            made = step(made)
+        return made
 
     return df.mapInArrow(run, schema)
 

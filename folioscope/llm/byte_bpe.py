@@ -2,8 +2,8 @@
 
 A rank file gives the vocabulary. Every way in which two tokens join to a third is a merge, ordered by the
 rank of what it makes, so that the library merges as the ranks say; a piece that is itself a token is taken
-whole. Texts are cut at white space, where no piece of the pattern can reach across, and each distinct chunk
-of a task is encoded once. Offsets follow from the tokens' byte lengths; a byte-to-character table turns them
+whole. With the public pattern texts are cut at white space, where none of its pieces can reach across, and a
+chunk seen lately is not encoded again; with any other pattern texts are encoded whole. Offsets follow from the tokens' byte lengths; a byte-to-character table turns them
 into character positions, where a character split between tokens belongs to each of them.
 
 A null text counts as empty and has no tokens. Rows, repeated or not, are encoded each for itself; other
@@ -16,10 +16,12 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -29,9 +31,14 @@ from folioscope.llm.batches import schema_with, through, with_columns
 # The white space of Unicode, as the patterns' \s reads it.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+BLANK_SIGNS = frozenset(sign for sign in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", sign))
 
-#: Distinct chunks a worker keeps, and the longest that is kept.
+#: Chunks that a generation of a worker's cache holds, two at a time, and the longest chunk that is kept.
 KEPT_CHUNKS, KEPT_LENGTH = 150_000, 64
+#: Characters of new chunks that are encoded as one text.
+JOINED = 4_000
+#: Rows and bytes that are encoded at once: the more, the fewer chunks are looked up twice.
+CODED_ROWS, CODED_BYTES = 1024, 1_000_000
 
 UNKNOWN = "\ufffd".encode()
 
@@ -43,6 +50,59 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class ChunkCoder:
+    """A tokenizer, of which no token reaches over the cuts of ``CHUNK``, on each distinct chunk lately seen.
+
+    ``lengths`` has the bytes of every id. New chunks that begin with one blank are encoded together, as the cuts between
+    them are cuts of the joined text as well, and parted by the byte lengths of their ids.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, lengths: np.ndarray):
+        self.tokenizer, self.lengths = tokenizer, lengths
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole_ids(self, texts: list[str]) -> list[np.ndarray]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(m.ids, dtype="<u4") for m in made]
+
+    def _joined(self, chunks: list[str]) -> dict[str, bytes]:
+        groups, size = [[]], 0
+        for chunk in chunks:
+            if size > JOINED:
+                groups.append([])
+                size = 0
+            groups[-1].append(chunk)
+            size += len(chunk)
+        found: dict[str, bytes] = {}
+        for group, ids in zip(groups, self.whole_ids(["".join(g) for g in groups])):
+            ends = np.cumsum([len(chunk.encode()) for chunk in group])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)
+            raw = ids.tobytes()
+            found.update((c, raw[a:b]) for c, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()))
+        return found
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        parts = [CHUNK.findall(text) for text in texts]
+        young, old = self.young, self.old
+        new = [chunk for chunk in set().union(*parts) if chunk not in young]
+        young.update((chunk, old[chunk]) for chunk in new if chunk in old)
+        new = [chunk for chunk in new if chunk not in old]
+        plain = [chunk for chunk in new if chunk[0] == " " and chunk[-1] not in BLANK_SIGNS]
+        other = [chunk for chunk in new if chunk[0] != " " or chunk[-1] in BLANK_SIGNS]
+        if plain:
+            young |= self._joined(plain)
+        young.update((chunk, ids.tobytes()) for chunk, ids in zip(other, self.whole_ids(other)))
+        made = [b"".join([young[c] for c in chunks]) for chunks in parts]
+        for chunk in new:
+            if len(chunk) > KEPT_LENGTH:
+                del young[chunk]
+        if len(young) > KEPT_CHUNKS:
+            self.old, self.young = young, {}
+        return made
+
+
 class Coder:
     """The tokens of a rank file, the library's tokenizer for them, and the byte table that reverses it."""
 
@@ -67,31 +127,46 @@ class Coder:
         )
         byte_of = {sign: b for b, sign in enumerate(signs)}
         self.tokens = {rank: bytes(byte_of[sign] for sign in token) for token, rank in vocabulary.items()}
-        self.known: dict[str, bytes] = {}
+        lengths = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        lengths[list(self.tokens)] = [len(token) for token in self.tokens.values()]
+        self.chunks = ChunkCoder(self.tokenizer, lengths)
+        self.cut = pattern == public_tokenizers.PATTERN
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [CHUNK.findall(text) for text in texts]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
-        known = self.known
-        new = list({chunk for chunks in parts for chunk in chunks if chunk not in known})
-        fresh = {
-            chunk: np.asarray(made.ids, dtype="<u4").tobytes()
-            for at in range(0, len(new), 1000)
-            for chunk, made in zip(
-                new[at : at + 1000], self.tokenizer.encode_batch_fast(new[at : at + 1000], add_special_tokens=False)
-            )
-        }
-        known.update((chunk, ids) for chunk, ids in fresh.items() if len(chunk) <= KEPT_LENGTH)
-        long = {chunk: ids for chunk, ids in fresh.items() if len(chunk) > KEPT_LENGTH}
-        return [b"".join([known[c] if c in known else long[c] for c in chunks]) for chunks in parts]
+        return self.chunks.ids_of(texts) if self.cut else [ids.tobytes() for ids in self.chunks.whole_ids(texts)]
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         token = self.tokens.get
         return b"".join([token(i, UNKNOWN) for i in ids.tolist()])
 
 
+class FileCoder:
+    """A byte-level tokenizer file: the ids of texts without special tokens, and the bytes of each id."""
+
+    def __init__(self, path: str):
+        tokenizer = Tokenizer.from_file(path)
+        told = json.loads(tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        if told["normalizer"] or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+            raise ValueError(f"{path} is not a plain byte-level vocabulary with the public pattern")
+        tokenizer.encode_special_tokens = True
+        byte_of = {sign: b for b, sign in enumerate(byte_characters())}
+        self.tokens = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
+        for token, number in tokenizer.get_vocab(with_added_tokens=True).items():
+            self.tokens[number] = bytes(byte_of[sign] for sign in token)
+        self.chunks = ChunkCoder(tokenizer, np.array([len(token) for token in self.tokens], np.int64))
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids, "<u4") for ids in self.chunks.ids_of(texts)]
+
+
+@functools.lru_cache(maxsize=2)
+def file_coder(path: str) -> FileCoder:
+    """One coder for each tokenizer file and worker process."""
+    return FileCoder(path)
+
+
 @functools.lru_cache(maxsize=4)
 def coder(ranks_path: str, pattern: str) -> Coder:
     """One coder for each vocabulary and worker process."""
@@ -198,4 +273,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_column: str = "d
     ]
     kind = dict(df.dtypes)[id_column]
     schema = f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return through(df.select(id_column, text), steps, schema)
+    return through(df.select(id_column, text), steps, schema, CODED_ROWS, CODED_BYTES)

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
+    alignment,
     byte_bpe,
     decontamination,
     language_id,
     license_scans,
     merkle,
+    packing,
+    periodic_runs,
     secret_scans,
     sharding,
     simhash,
@@ -26,6 +29,9 @@ from folioscope.llm.templates import LICENSES
 
 SHARDS = 24
 RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: The id that ends a document in a sequence.
+END_ID = 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -84,6 +90,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.link_counts(docs, public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_TOKENIZER), END_ID)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = (
     op1_license_scans,
     op2_simhash,
@@ -95,6 +115,9 @@ QUERIES = (
     op8_decontamination,
     op9_secret_scans,
     op10_language_id,
+    op11_cross_tokenizer_alignment,
+    op12_packing,
+    op13_periodic_runs,
 )
 
 
