@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 BatchFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: Rows and bytes handled at once inside a task, so that memory follows single texts, not Spark's batch size.
 SLICE_ROWS, SLICE_BYTES = 256, 256_000
+#: Rows that Spark hands to a worker at once, and the setting that tells.
+ARROW_ROWS, ARROW_SETTING, ARROW_DEFAULT = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def slices(
@@ -35,6 +37,12 @@ def with_columns(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.Record
     return pa.RecordBatch.from_pydict(kept | added)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send ``ARROW_ROWS`` rows at once, as thousands of whole texts fill both sides' memory; a size the session names stays."""
+    if spark.conf.get(ARROW_SETTING) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+
+
 def through(df: DataFrame, steps: list[BatchFn], schema: str, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Send the rows through ``steps``, one after the other, in one pass of Python workers, sliced to ``rows`` and ``size`` bytes."""
 
@@ -44,6 +52,7 @@ def through(df: DataFrame, steps: list[BatchFn], schema: str, rows: int | None =
             made = step(made)
         return made
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

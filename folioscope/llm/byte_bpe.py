@@ -31,10 +31,14 @@ from folioscope.llm.batches import schema_with, through, with_columns
 # The white space of Unicode, as the patterns' \s reads it.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+#: A blank next to another white-space character: such a text is not parted by single blanks alone.
+WIDE_GAP = re.compile(f" [{BLANK}]|[{BLANK.replace(' ', '')}] ")
 BLANK_SIGNS = frozenset(sign for sign in map(chr, range(0x3001)) if re.match(f"[{BLANK}]", sign))
 
 #: Chunks that a generation of a worker's cache holds, two at a time, and the longest chunk that is kept.
 KEPT_CHUNKS, KEPT_LENGTH = 150_000, 64
+#: The same for tokenizer files.
+FILE_CHUNKS = 300_000
 #: Characters of new chunks that are encoded as one text.
 JOINED = 4_000
 #: Rows and bytes that are encoded at once: the more, the fewer chunks are looked up twice.
@@ -50,23 +54,50 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class Recent:
+    """What was lately encoded: two generations, of which the older goes when the younger is full."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, parts: list[list[str]]) -> list[str]:
+        """What in ``parts`` is not known; all else is in the younger generation now."""
+        young, old = self.young, self.old
+        new = [part for part in set().union(*parts) if part not in young]
+        if not old:
+            return new
+        young.update((part, old[part]) for part in new if part in old)
+        return [part for part in new if part not in old]
+
+    def trim(self, new: list[str]) -> None:
+        """Forget long ones among ``new``, and the older generation if the younger is full."""
+        for part in new:
+            if len(part) > KEPT_LENGTH:
+                del self.young[part]
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+
+
 class ChunkCoder:
     """A tokenizer, of which no token reaches over the cuts of ``CHUNK``, on each distinct chunk lately seen.
 
-    ``lengths`` has the bytes of every id. New chunks that begin with one blank are encoded together, as the cuts between
-    them are cuts of the joined text as well, and parted by the byte lengths of their ids.
+    Most texts are parted by single blanks; these are cut at the blanks alone, as a blank and what follows up to the next are
+    whole chunks. ``lengths`` has the bytes of every id. New chunks that begin with one blank are encoded together, as the
+    cuts between them are cuts of the joined text as well, and parted by the byte lengths of their ids.
     """
 
-    def __init__(self, tokenizer: Tokenizer, lengths: np.ndarray):
+    def __init__(self, tokenizer: Tokenizer, lengths: np.ndarray, kept: int | None = None):
         self.tokenizer, self.lengths = tokenizer, lengths
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks, self.spaced = Recent(kept or KEPT_CHUNKS), Recent(kept or KEPT_CHUNKS)
 
     def whole_ids(self, texts: list[str]) -> list[np.ndarray]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(m.ids, dtype="<u4") for m in made]
 
-    def _joined(self, chunks: list[str]) -> dict[str, bytes]:
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that begin with one blank and end with none."""
         groups, size = [[]], 0
         for chunk in chunks:
             if size > JOINED:
@@ -74,32 +105,50 @@ class ChunkCoder:
                 size = 0
             groups[-1].append(chunk)
             size += len(chunk)
-        found: dict[str, bytes] = {}
+        found: list[bytes] = []
         for group, ids in zip(groups, self.whole_ids(["".join(g) for g in groups])):
             ends = np.cumsum([len(chunk.encode()) for chunk in group])
-            cuts = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)
+            cuts = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
-            found.update((c, raw[a:b]) for c, a, b in zip(group, [0, *cuts.tolist()], cuts.tolist()))
+            found += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
         return found
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _put(self, known: Recent, new: list[str], lead: str) -> None:
+        """Encode ``lead`` and each of ``new`` after it."""
+        led = [(c, lead + c) for c in new]
+        plain = [pair for pair in led if pair[1][0] == " " and pair[1][-1] not in BLANK_SIGNS]
+        other = [pair for pair in led if pair[1][0] != " " or pair[1][-1] in BLANK_SIGNS]
+        known.young.update(zip([c for c, _ in plain], self._joined([chunk for _, chunk in plain])))
+        known.young.update((c, ids.tobytes()) for (c, _), ids in zip(other, self.whole_ids([chunk for _, chunk in other])))
+
+    def _chunk_ids(self, texts: list[str]) -> list[bytes]:
         parts = [CHUNK.findall(text) for text in texts]
-        young, old = self.young, self.old
-        new = [chunk for chunk in set().union(*parts) if chunk not in young]
-        young.update((chunk, old[chunk]) for chunk in new if chunk in old)
-        new = [chunk for chunk in new if chunk not in old]
-        plain = [chunk for chunk in new if chunk[0] == " " and chunk[-1] not in BLANK_SIGNS]
-        other = [chunk for chunk in new if chunk[0] != " " or chunk[-1] in BLANK_SIGNS]
-        if plain:
-            young |= self._joined(plain)
-        young.update((chunk, ids.tobytes()) for chunk, ids in zip(other, self.whole_ids(other)))
+        new = self.chunks.missing(parts)
+        self._put(self.chunks, new, "")
+        young = self.chunks.young
         made = [b"".join([young[c] for c in chunks]) for chunks in parts]
-        for chunk in new:
-            if len(chunk) > KEPT_LENGTH:
-                del young[chunk]
-        if len(young) > KEPT_CHUNKS:
-            self.old, self.young = young, {}
+        self.chunks.trim(new)
+        return made
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        simple = [i for i, text in enumerate(texts) if not WIDE_GAP.search(text)]
+        parts = [texts[i].split(" ") for i in simple]
+        firsts = [words[0] for words in parts]
+        for words in parts:
+            del words[0]
+        single = set(simple)
+        rest = [i for i in range(len(texts)) if i not in single]
+        whole = self._chunk_ids(firsts + [texts[i] for i in rest])
+        new = self.spaced.missing(parts)
+        self._put(self.spaced, new, " ")
+        young = self.spaced.young
+        made: list[bytes] = [b""] * len(texts)
+        for i, first, words in zip(simple, whole, parts):
+            made[i] = first + b"".join(map(young.__getitem__, words))
+        self.spaced.trim(new)
+        for i, ids in zip(rest, whole[len(firsts) :]):
+            made[i] = ids
         return made
 
 
@@ -155,7 +204,7 @@ class FileCoder:
         self.tokens = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
         for token, number in tokenizer.get_vocab(with_added_tokens=True).items():
             self.tokens[number] = bytes(byte_of[sign] for sign in token)
-        self.chunks = ChunkCoder(tokenizer, np.array([len(token) for token in self.tokens], np.int64))
+        self.chunks = ChunkCoder(tokenizer, np.array([len(token) for token in self.tokens], np.int64), FILE_CHUNKS)
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(ids, "<u4") for ids in self.chunks.ids_of(texts)]

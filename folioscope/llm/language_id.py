@@ -35,7 +35,7 @@ UNKNOWN = "und"
 #: Most languages a profile table may hold; it reaches the driver and every task (300 n-grams for each).
 MAX_LANGUAGES = 20_000
 #: Distinct n-grams a task holds before it hands its counts on.
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 400_000
 
 #: Bounds for clean texts: the share of this quantile of their scores, in classes of length with as many rows.
 LOW, MARGIN, CLASS_ROWS = 0.01, 0.75, 100
@@ -89,53 +89,44 @@ class Profiles:
     ranks: np.ndarray
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal (language number, gram) summed, in order."""
+    owner, grams, counts = (np.concatenate(columns) for columns in zip(*parts))
+    order = np.lexsort((grams, owner))
+    owner, grams, counts = owner[order], grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])]))
+    return owner[first], grams[first], np.add.reduceat(counts, first)
+
+
 def _count_step(language: str, text: str):
-    def flush(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-        names, grams, counts = [], [], []
-        for name, parts in held.items():
-            keys, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            names += [name] * len(keys)
-            grams.append(keys)
-            counts.append(np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64))
-        return pa.RecordBatch.from_pydict(
-            {
-                "language": pa.array(names, pa.string()),
-                "gram": pa.array(np.concatenate(grams), pa.int64()),
-                "n": pa.array(np.concatenate(counts), pa.int64()),
-            }
-        )
+    def told(held: tuple[np.ndarray, np.ndarray, np.ndarray], names: list[str]) -> pa.RecordBatch:
+        owner, grams, counts = held
+        language = pa.DictionaryArray.from_arrays(pa.array(owner, pa.int32()), pa.array(names, pa.string()))
+        return pa.RecordBatch.from_pydict({"language": language.cast(pa.string()), "gram": pa.array(grams), "n": pa.array(counts)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        numbers: dict[str, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in slices(batches):
-            names = batch.column(language).to_pylist()
-            distinct = sorted(set(names))
-            number = np.array([distinct.index(n) for n in names], np.int64)
+            number = np.array([numbers.setdefault(n, len(numbers)) for n in batch.column(language).to_pylist()], np.int32)
             grams, texts = grams_of([t or "" for t in batch.column(text).to_pylist()])
-            owner, keys, counts = counted(number[texts], grams)
-            for i, name in enumerate(distinct):
-                held.setdefault(name, []).append((keys[owner == i], counts[owner == i]))
-            size += len(keys)
+            if not len(grams):
+                continue
+            held.append(_merged([(number[texts], grams, np.ones(len(grams), np.int64))]))
+            size += len(held[-1][1])
             if size > HELD_GRAMS:
-                merged = flush(held)
-                if merged.num_rows > HELD_GRAMS // 2:
-                    yield merged
-                    held, size = {}, 0
-                else:
-                    held, size = _held(merged), merged.num_rows
+                held = [_merged(held)]
+                size = len(held[0][1])
+                if size > HELD_GRAMS // 2:
+                    yield told(held[0], list(numbers))
+                    held, size = [], 0
         if held:
-            yield flush(held)
+            yield told(_merged(held), list(numbers))
 
     return run
 
 
-def _held(merged: pa.RecordBatch) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-    names = np.array(merged.column("language").to_pylist(), dtype=object)
-    grams, counts = merged.column("gram").to_numpy(), merged.column("n").to_numpy()
-    return {name: [(grams[names == name], counts[names == name])] for name in dict.fromkeys(names.tolist())}
-
-
 def gram_counts(df: DataFrame, language: str = "lang", text: str = "text") -> DataFrame:
     """How often each language's rows hold each n-gram: ``language``, ``gram``, ``n``."""
     rows = df.select(F.col(language).alias("language"), F.col(text).alias("text")).dropna()
@@ -226,7 +217,8 @@ def in_known_language(df: DataFrame, least_score: float, language: str = "lang",
     ``und`` goes, and what scores below the bound of its language and length (``least_scores``), or ``least_score``.
     """
     predicted, score, name, length, bound, whole = (f"_{n}_{uuid.uuid4().hex}" for n in ("language", "score", "name", "length", "bound", "whole"))
-    told = predict(df, learn(df, language, text), text, (predicted, score))
+    # scored once: the bounds and the rows that stay read the same table
+    told = cut_lineage(predict(df, learn(df, language, text), text, (predicted, score)))
     bounds = cut_lineage(least_scores(told, language, text, predicted, score))
     by_class = bounds.filter("length is not null").toDF(name, length, bound)
     by_language = bounds.filter("length is null").select(F.col("name").alias(f"{name}w"), F.col("bound").alias(whole))

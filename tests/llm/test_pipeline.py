@@ -1,26 +1,40 @@
+import math
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 
 from test_language_id import plain_predict, plain_profile, plain_counts
 from test_native import grams
+from test_near_copies import plain_kept
 from test_secret_scans import S
-from test_simhash import plain_fingerprint, plain_groups
+
+from folioscope.llm.language_id import CLASS_ROWS, LOW, MARGIN
 
 DATA = "/root/testdata/sf0.001"
 
 
-def plain_pipeline(docs, items):
-    from collections import Counter
+def plain_bounds(told):
+    """The least score of each language and length class, and of each language, by sorting."""
+    classes = {}
+    for d, (name, score) in told:
+        if d.lang == name:
+            classes.setdefault((name, len(d.text).bit_length()), []).append(score)
+            classes.setdefault((name, None), []).append(score)
+    low = {c: sorted(s)[math.ceil(LOW * len(s)) - 1] * MARGIN for c, s in classes.items() if c[1] is None or len(s) >= CLASS_ROWS}
+    return lambda name, text: max(corpus_pipeline.LEAST_LANGUAGE_SCORE, low.get((name, len(text).bit_length()), low.get((name, None), 0.0)))
 
+
+def plain_pipeline(docs, items):
     counts = {}
     for d in docs:
         if d.lang and d.text:
             counts.setdefault(d.lang, Counter()).update(plain_counts(d.text))
     profiles = {name: plain_profile(c) for name, c in counts.items()}
-    kept = [d for d in docs if (told := plain_predict(d.text, profiles))[0] != "und" and told[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
-    kept.sort(key=lambda d: d.doc_id)
-    label = plain_groups([plain_fingerprint(d.text) for d in kept])
-    kept = [d for i, d in enumerate(kept) if label[i] == i]
+    told = [(d, plain_predict(d.text, profiles)) for d in docs]
+    bound = plain_bounds(told)
+    kept = sorted((d for d, (name, score) in told if name != "und" and score >= bound(name, d.text)), key=lambda d: d.doc_id)
+    kept = [kept[i] for i in plain_kept([d.text for d in kept])]
     sought = [g for _, t in items if (g := grams(t, 5))]
     kept = [d for d in kept if not any(10 * len(g & grams(d.text, 5)) >= 8 * len(g) for g in sought)]
     return {d.doc_id: S.redacted(d.text, S.scan(d.text)) for d in kept}
