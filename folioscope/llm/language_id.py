@@ -215,10 +215,14 @@ def in_known_language(df: DataFrame, least_score: float, language: str = "lang",
     """The rows that resemble a language learned from ``df`` itself.
 
     ``und`` goes, and what scores below the bound of its language and length (``least_scores``), or ``least_score``.
+    Where no row has a language, nothing is known to compare with: then only null texts and texts without letters go.
     """
     predicted, score, name, length, bound, whole = (f"_{n}_{uuid.uuid4().hex}" for n in ("language", "score", "name", "length", "bound", "whole"))
+    profiles = learn(df, language, text)
+    if not profiles.languages:
+        return df.filter(F.col(text).rlike(r"\p{L}"))
     # scored once: the bounds and the rows that stay read the same table
-    told = cut_lineage(predict(df, learn(df, language, text), text, (predicted, score)))
+    told = cut_lineage(predict(df, profiles, text, (predicted, score)))
     bounds = cut_lineage(least_scores(told, language, text, predicted, score))
     by_class = bounds.filter("length is not null").toDF(name, length, bound)
     by_language = bounds.filter("length is null").select(F.col("name").alias(f"{name}w"), F.col("bound").alias(whole))

@@ -30,7 +30,7 @@ from folioscope.llm.batches import through
 from folioscope.llm.byte_bpe import CODED_BYTES, CODED_ROWS, file_coder
 
 #: Examples and tokens that are packed together.
-WINDOW, WINDOW_TOKENS = 4096, 4_000_000
+WINDOW, WINDOW_TOKENS = 2048, 4_000_000
 #: Bits of a sequence's number that count within a task.
 COUNTED_BITS = 40
 
@@ -181,16 +181,18 @@ def pack_window(examples: list[Example], limits: Limits, cut: bool) -> list[list
 
 def _examples(batch: pa.RecordBatch, key: str, ids: str, loss: str | None) -> Iterator[Example]:
     keys, lists = batch.column(key).to_pylist(), batch.column(ids)
-    masks = batch.column(loss) if loss else None
-    for at in range(batch.num_rows):
-        own = lists[at].values.to_numpy(zero_copy_only=False).astype("<u4") if lists[at].is_valid else np.empty(0, "<u4")
-        if masks is None or not masks[at].is_valid:
-            bears = np.ones(len(own), np.int64)
+    values, bounds = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy().tolist()
+    valid = lists.is_valid().to_pylist()
+    masks = batch.column(loss).to_pylist() if loss else [None] * batch.num_rows
+    for at, (own_key, mask) in enumerate(zip(keys, masks)):
+        own = values[bounds[at] : bounds[at + 1]] if valid[at] else values[:0]
+        if mask is None:
+            bears = np.arange(len(own) + 1)
+        elif len(mask) != len(own):
+            raise ValueError("a loss mask has an entry for each id")
         else:
-            bears = np.array([bool(m) for m in masks[at].as_py()], np.int64)
-            if len(bears) != len(own):
-                raise ValueError("a loss mask has an entry for each id")
-        yield Example(keys[at], own, np.concatenate([[0], np.cumsum(bears)]))
+            bears = np.concatenate([[0], np.cumsum([bool(m) for m in mask])]).astype(np.int64)
+        yield Example(own_key, own, bears)
 
 
 def pack_step(key: str, ids: str, loss: str | None, limits: Limits, cut: bool):
@@ -255,9 +257,10 @@ def ended_ids_step(path: str, end: int, text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = file_coder(path)
         for batch in batches:
-            made = [np.append(ids, end).astype(np.int32) for ids in code.ids_of([t or "" for t in batch.column(text).to_pylist()])]
-            bounds = np.concatenate([[0], np.cumsum([len(ids) for ids in made])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(made)))
+            ids, bounds = code.chunks.coded([t or "" for t in batch.column(text).to_pylist()])
+            ended = np.insert(ids.astype(np.int32), bounds[1:], end)
+            bounds = (bounds + np.arange(len(bounds))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ended))
             kept = {name: batch.column(name) for name in batch.schema.names if name != text}
             yield pa.RecordBatch.from_pydict(kept | {"ids": lists})
 

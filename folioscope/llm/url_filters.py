@@ -18,6 +18,7 @@ table leaves the default everywhere. Other columns of the urls stay, except ``ho
 from __future__ import annotations
 
 import string
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -51,16 +52,19 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def _ranges(bounds: list[bytes]):
-    """A batch function that adds the ranges which a row's key interval meets."""
+HELPERS = ("range", "key", "is_rule", "rule", "rule_path", "rule_verdict", "first", "last")
+
+
+def _ranges(bounds: list[bytes], own: dict[str, str]):
+    """A batch function that adds the ranges which a row's key interval meets; ``own`` names the helper columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k.encode() for k in batch.column("_key").to_pylist()]
-            rules = batch.column("_is_rule").to_pylist()
+            keys = [k.encode() for k in batch.column(own["key"]).to_pylist()]
+            rules = batch.column(own["is_rule"]).to_pylist()
             first = [bisect_right(bounds, k) for k in keys]
             last = [bisect_right(bounds, k + b"\xff") if rule else at for k, rule, at in zip(keys, rules, first)]
-            yield with_columns(batch, {"_first": pa.array(first, pa.int32()), "_last": pa.array(last, pa.int32())})
+            yield with_columns(batch, {own["first"]: pa.array(first, pa.int32()), own["last"]: pa.array(last, pa.int32())})
 
     return run
 
@@ -85,13 +89,13 @@ class OpenRules:
         return None
 
 
-def _sweep(default: str, columns: list[str]):
+def _sweep(default: str, columns: list[str], own: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[OpenRules] = []
         at = None
         for batch in batches:
             rules, verdicts, keep = [], [], []
-            names = ("_range", "_key", "_is_rule", "_rule", "_rule_path", "_rule_verdict", "path")
+            names = (*(own[name] for name in HELPERS[:6]), "path")
             rows = zip(*(batch.column(name).to_pylist() for name in names))
             for n, (place, key, is_rule, rule, rule_path, rule_verdict, path) in enumerate(rows):
                 if place != at:
@@ -125,22 +129,24 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str
     """
     session = urls.sparkSession
     width = int(session.conf.get("spark.sql.shuffle.partitions"))
+    mark = uuid.uuid4().hex
+    own = {name: f"_{name}_{mark}" for name in HELPERS}
     parts = urls.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict")
-    place = F.concat_ws("\0", host_key(F.col("host")), F.col("path"), F.hex(F.xxhash64(*parts.columns)))
-    pages = parts.withColumns({"_key": place, "_is_rule": F.lit(False)})
+    place = F.concat_ws("\0", host_key(F.col("host")), F.col("path"), F.hex(F.xxhash64(*(F.col(f"`{c}`") for c in parts.columns))))
+    pages = parts.withColumns({own["key"]: place, own["is_rule"]: F.lit(False)})
     lists = rules.select(
-        host_key(lower_ascii(F.col("host"))).alias("_key"),
-        F.lit(True).alias("_is_rule"),
-        F.concat(lower_ascii(F.col("host")), F.col("path")).alias("_rule"),
-        F.col("path").alias("_rule_path"),
-        F.col("verdict").alias("_rule_verdict"),
+        host_key(lower_ascii(F.col("host"))).alias(own["key"]),
+        F.lit(True).alias(own["is_rule"]),
+        F.concat(lower_ascii(F.col("host")), F.col("path")).alias(own["rule"]),
+        F.col("path").alias(own["rule_path"]),
+        F.col("verdict").alias(own["rule_verdict"]),
     )
-    sample = pages.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(width * SAMPLES_PER_RANGE)
+    sample = pages.select(own["key"]).orderBy(F.xxhash64(own["key"]), own["key"]).limit(width * SAMPLES_PER_RANGE)
     drawn = sorted(r[0].encode() for r in sample.collect())
     bounds = drawn[SAMPLES_PER_RANGE::SAMPLES_PER_RANGE]
     both = pages.unionByName(lists, allowMissingColumns=True)
-    ranged = both.mapInArrow(_ranges(bounds), schema_with(both, "_first int, _last int"))
-    dealt = ranged.withColumn("_range", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    swept = dealt.repartition("_range").sortWithinPartitions("_range", "_key", F.desc("_is_rule"))
+    ranged = both.mapInArrow(_ranges(bounds, own), schema_with(both, f"{own['first']} int, {own['last']} int"))
+    dealt = ranged.withColumn(own["range"], F.explode(F.sequence(own["first"], own["last"]))).drop(own["first"], own["last"])
+    swept = dealt.repartition(own["range"]).sortWithinPartitions(own["range"], own["key"], F.desc(own["is_rule"]))
     judged = schema_with(parts, "rule string, verdict string")
-    return swept.mapInArrow(_sweep(default, [*parts.columns, "rule", "verdict"]), judged)
+    return swept.mapInArrow(_sweep(default, [*parts.columns, "rule", "verdict"], own), judged)

@@ -2,6 +2,8 @@ import random
 
 import corpus_pipeline
 
+from folioscope.llm import language_id
+
 POLISH = "W Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie, a wszyscy ludzie wiedzą o tym dobrze"
 
 
@@ -19,3 +21,8 @@ def test_gibberish_and_unlearned_languages_go(shipped):
     assert sorted(i - 10**9 for i in kept if i >= 10**9) == [len(junk) + 1 + i for i in range(len(clean))]
     given = {r.doc_id for r in docs.select("doc_id").collect()}
     assert given <= kept
+
+
+def test_without_labels_only_texts_without_letters_go(docs_of):
+    docs = docs_of(["plain words", None, "", "1 2 3", "xqz"], lang=None)
+    assert sorted(r.doc_id for r in language_id.in_known_language(docs, 0.2).collect()) == [0, 4]

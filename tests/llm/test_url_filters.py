@@ -49,3 +49,10 @@ def test_hot_host_repeated_rows_and_empty_tables(shipped):
     assert url_filters.judge_urls(pages.filter("false"), rules).count() == 0
     none = url_filters.judge_urls(pages, rules.filter("false"))
     assert none.filter("verdict = 'allow' and rule is null").count() == 501
+
+
+def test_columns_of_any_name_stay(shipped):
+    names = ["_first", "_last", "_key", "_is_rule", "_rule", "_rule_path", "_rule_verdict", "_range", "a b"]
+    pages = shipped.createDataFrame([(1, "http://www.example.com/en/", *range(9))], "page_id int, url string, " + ", ".join(f"`{n}` int" for n in names))
+    row = url_filters.judge_urls(pages, shipped.createDataFrame(RULES, "host string, path string, verdict string")).first()
+    assert [row[n] for n in names] == list(range(9)) and row["rule"] == "www.example.com/en/"
