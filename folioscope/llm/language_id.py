@@ -221,8 +221,8 @@ def in_known_language(df: DataFrame, least_score: float, language: str = "lang",
     profiles = learn(df, language, text)
     if not profiles.languages:
         return df.filter(F.col(text).rlike(r"\p{L}"))
-    # scored once: the bounds and the rows that stay read the same table
-    told = cut_lineage(predict(df, profiles, text, (predicted, score)))
+    # scored again for the rows that stay: a table of all texts with their scores would outlive this stage
+    told = predict(df, profiles, text, (predicted, score))
     bounds = cut_lineage(least_scores(told, language, text, predicted, score))
     by_class = bounds.filter("length is not null").toDF(name, length, bound)
     by_language = bounds.filter("length is null").select(F.col("name").alias(f"{name}w"), F.col("bound").alias(whole))

@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import math
 import re
 
 import pytest
@@ -56,6 +58,41 @@ def test_cost_is_the_least_over_all_cuts():
     assert S.guess_cost("passwordx") == pytest.approx(S.WORD_COST["password"] + 1)
 
 
+def piece_costs(value, start, end):
+    """What each way to read ``value[start:end]`` as one piece costs."""
+    lowered, piece = value.lower(), value[start:end]
+    plain_piece = lowered.translate(S.SUBSTITUTES)[start:end]
+    if end - start == 1:
+        yield 1.0
+    else:
+        for word, more in ((lowered[start:end], 0), (plain_piece, math.log10(2))):
+            yield S.dictionary().cost(word) + more + (math.log10(2) if piece != lowered[start:end] else 0)
+    date = S.DATE.match(value, start) if value[start].isdigit() else None
+    if date and date.end() == end:
+        yield math.log10(S.YEARS * (S.DAYS * S.SEPARATORS if end - start > 4 else 1))
+    if end - start >= 3 and set(piece) == {piece[0]} and value[start - 1 : start] != piece[0]:
+        yield 1.0 + math.log10(end - start)
+    steps = [(lowered[i], lowered[i + 1]) in S.NEIGHBOURS for i in range(len(value) - 1)]
+    if end - start >= 3 and all(steps[start : end - 1]) and not (start and steps[start - 1]):
+        yield math.log10(2 * len(S.NEIGHBOURS) * (end - start))
+    if 2 <= end - start <= 4 and start >= end - start and value[2 * start - end : start] == piece:
+        yield math.log10(2)
+
+
+def every_cut(value):
+    """The least cost over all cuts, each looked at."""
+    best = math.inf
+    for cuts in itertools.product((False, True), repeat=len(value) - 1):
+        ends = [0, *(i + 1 for i, cut in enumerate(cuts) if cut), len(value)]
+        best = min(best, sum(min(piece_costs(value, a, b), default=math.inf) for a, b in zip(ends, ends[1:])))
+    return best
+
+
+@pytest.mark.parametrize("value", ["passwordx", "Passw0rd1", "qwerty11", "aaaab", "abab12", "199912xx", "Zr8Tq1Wn", "20200101a", "lovelove", "xyzzzy", "a", "1234qwer", "L0vetest", "houses99"])
+def test_cost_equals_the_least_over_every_cut(value):
+    assert S.guess_cost(value) == pytest.approx(every_cut(value))
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     docs = docs_of(TEXTS).selectExpr("*", "7 as secrets")
     kept = S.redact(docs)
