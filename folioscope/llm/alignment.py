@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +28,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.batches import schema_with, through, with_columns
-from folioscope.llm.byte_bpe import CODED_BYTES, CODED_ROWS, file_coder
+from folioscope.llm.byte_bpe import FILE_CHUNKS, ChunkCoder, file_coder
 from folioscope.session import cut_lineage, drop_table
 
 #: Most id pairs whose counts every task holds, 17 bytes each.
 HEAD = 500_000
+#: Rows and bytes that are aligned at once.
+CODED_ROWS, CODED_BYTES = 1024, 2_000_000
+
+
+#: Texts, a blank before them, that are not parted by single blanks, or hold what stands for a blank in pieces.
+UNEVEN = "  | $|[\u2581\\x00]"
 
 
 class PieceCoder:
-    """A piece vocabulary: ids of texts, and the bytes of each id."""
+    """A piece vocabulary: ids of texts, and the bytes of each id.
+
+    If no piece has a blank after another sign, no token reaches from one word into the next, so each distinct word lately
+    seen is encoded once.
+    """
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.tokens = []
+        self.tokens, whole = [], UNEVEN
         for number in range(self.model.vocab_size()):
             piece = self.model.id_to_piece(number)
             by_byte = self.model.is_byte(number)
             self.tokens.append(bytes([int(piece[3:5], 16)]) if by_byte else piece.replace("▁", " ").encode())
+            if "▁" in piece.lstrip("▁"):
+                whole = ""
         self.lengths = np.array([len(token) for token in self.tokens], np.int64)
+        self.chunks = ChunkCoder(self._whole_ids, self.lengths, FILE_CHUNKS, whole)
 
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def _whole_ids(self, texts: list[str]) -> list[np.ndarray]:
+        # the model adds the blank that every text begins with
+        return [np.asarray(ids, "<u4") for ids in self.model.encode([t[1:] for t in texts], num_threads=1)]
+
+
+@functools.lru_cache(maxsize=4)
+def table_of(code) -> "Table":
+    """The bytes of a coder's ids."""
+    return Table(code.tokens)
 
 
 @functools.lru_cache(maxsize=2)
@@ -63,52 +84,103 @@ def groups_of(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int
     return [a_at[end] for end in common], [b_at[end] for end in common]
 
 
-def links_of(
-    groups: tuple[list[int], list[int]], a_ends: list[int], b_ends: list[int]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers of both lists for every two tokens whose byte ranges overlap, and each link's group, in order.
+def links_of(a_stops: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers of both sides for every two tokens whose byte ranges overlap, and each link's group, in order.
 
-    In a slice every byte at which a token of either list ends is the last that some two tokens share.
+    In a slice every byte at which a token of either side ends is the last that some two tokens share.
     """
-    a_ends, b_ends = np.array(a_ends, np.int64), np.array(b_ends, np.int64)
     shared = np.union1d(a_ends, b_ends)
-    common = a_ends[np.array(groups[0], np.int64) - 1]
+    common = a_ends[a_stops - 1]
     return np.searchsorted(a_ends, shared), np.searchsorted(b_ends, shared), np.searchsorted(common, shared)
 
 
-def coded(texts: list[str | None], a_path: str, b_path: str) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
-    """Ids and byte ends of both tokenizers for each text; empty lists where it has no tokens."""
-    a_code, b_code = file_coder(a_path), piece_coder(b_path)
+class Table:
+    """The bytes of all ids of a vocabulary, to be put together for many ids at once."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lengths = np.array([len(token) for token in tokens], np.int64)
+        self.ends, self.flat = np.cumsum(self.lengths), np.frombuffer(b"".join(tokens), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        upto = np.cumsum(lengths)
+        at = np.repeat(self.ends[ids] - upto, lengths) + np.arange(int(upto[-1]) if len(upto) else 0)
+        return self.flat[at].tobytes()
+
+
+@dataclass(frozen=True)
+class Side:
+    """The ids of one tokenizer for several texts, one after the other: where each text's begin, and the byte end of each id."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+    ends: np.ndarray
+
+
+def _side(coder, table: Table, texts: list[str]) -> tuple[Side, bytes, np.ndarray]:
+    """The ids of texts, their joined bytes, and where each text's bytes begin."""
+    ids, bounds = coder.chunks.coded([" " + t for t in texts])
+    ends = np.cumsum(table.lengths[ids])
+    starts = np.concatenate([[0], ends])[bounds]
+    return Side(ids, bounds, ends), table.joined(ids), starts
+
+
+def coded(texts: list[str | None], a_path: str, b_path: str) -> tuple[Side, Side]:
+    """Both tokenizers' ids of all texts; none for a text that is empty or whose tokens are not the bytes of blank and text."""
     given = [t or "" for t in texts]
-    all_a, all_b = a_code.ids_of([" " + t for t in given]), b_code.ids_of(given)
-    for text, a_array, b_ids in zip(given, all_a, all_b):
-        a_ids, whole = a_array.tolist(), (" " + text).encode()
-        same = all(
-            b"".join([tokens[i] for i in ids]) == whole for ids, tokens in ((a_ids, a_code.tokens), (b_ids, b_code.tokens))
-        )
-        if text and same:
-            a_ends, b_ends = np.cumsum(a_code.chunks.lengths[a_array]), np.cumsum(b_code.lengths[b_ids])
-            yield a_ids, b_ids, a_ends.tolist(), b_ends.tolist()
-        else:
-            yield [], [], [], []
+    a_code, b_code = file_coder(a_path), piece_coder(b_path)
+    made = [_side(code, table_of(code), given) for code in (a_code, b_code)]
+    dropped = np.array(
+        [not t or any(raw[starts[i] : starts[i + 1]] != (" " + t).encode() for _, raw, starts in made) for i, t in enumerate(given)], bool
+    )
+    sides = []
+    for (side, _, _), code in zip(made, (a_code, b_code)):
+        sizes = np.diff(side.bounds)
+        ids = side.ids[~np.repeat(dropped, sizes)]
+        bounds = np.concatenate([[0], np.cumsum(np.where(dropped, 0, sizes))])
+        sides.append(Side(ids, bounds, np.cumsum(table_of(code).lengths[ids])))
+    return sides[0], sides[1]
+
+
+def text_groups(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many tokens of either side, over all texts, end with each group, and where each text's groups begin.
+
+    Byte ends run on from text to text, so the last end of a text is common to both sides.
+    """
+    a_stops, b_stops, bounds = [], [], [0]
+    a_ends, b_ends = a.ends.tolist(), b.ends.tolist()
+    a_bounds, b_bounds = a.bounds.tolist(), b.bounds.tolist()
+    for a_from, a_to, b_from, b_to in zip(a_bounds, a_bounds[1:], b_bounds, b_bounds[1:]):
+        own = groups_of(a_ends[a_from:a_to], b_ends[b_from:b_to])
+        a_stops.append(np.array(own[0], np.int64) + a_from)
+        b_stops.append(np.array(own[1], np.int64) + b_from)
+        bounds.append(bounds[-1] + len(own[0]))
+    return np.concatenate(a_stops), np.concatenate(b_stops), np.array(bounds)
 
 
 def _align_step(a_path: str, b_path: str, text: str):
     number = pa.int32()
-    group, link = (pa.list_(pa.struct([(a, number), (b, number)])) for a, b in (("a_end", "b_end"), ("a_at", "b_at")))
+
+    def pairs(bounds: np.ndarray, **columns: np.ndarray) -> pa.Array:
+        made = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in columns.values()], list(columns))
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"a_ids": [], "b_ids": [], "groups": [], "links": []}
-            for a_ids, b_ids, a_ends, b_ends in coded(batch.column(text).to_pylist(), a_path, b_path):
-                groups = groups_of(a_ends, b_ends)
-                rows["a_ids"].append(a_ids)
-                rows["b_ids"].append(b_ids)
-                rows["groups"].append([{"a_end": a, "b_end": b} for a, b in zip(*groups)])
-                a_links, b_links, _ = links_of(groups, a_ends, b_ends)
-                rows["links"].append([{"a_at": a, "b_at": b} for a, b in zip(a_links.tolist(), b_links.tolist())])
-            kinds = {"a_ids": pa.list_(number), "b_ids": pa.list_(number), "groups": group, "links": link}
-            yield with_columns(batch, {name: pa.array(values, kinds[name]) for name, values in rows.items()})
+            a, b = coded(batch.column(text).to_pylist(), a_path, b_path)
+            a_stops, b_stops, bounds = text_groups(a, b)
+            a_links, b_links, owner = links_of(a_stops, a.ends, b.ends)
+            group_text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            link_text = group_text[owner]
+            link_bounds = np.searchsorted(link_text, np.arange(batch.num_rows + 1))
+            ids = [pa.ListArray.from_arrays(pa.array(s.bounds.astype(np.int32)), pa.array(s.ids.astype(np.int32), number)) for s in (a, b)]
+            added = {
+                "a_ids": ids[0],
+                "b_ids": ids[1],
+                "groups": pairs(bounds, a_end=a_stops - a.bounds[group_text], b_end=b_stops - b.bounds[group_text]),
+                "links": pairs(link_bounds, a_at=a_links - a.bounds[link_text], b_at=b_links - b.bounds[link_text]),
+            }
+            yield with_columns(batch, added)
 
     return run
 
@@ -141,19 +213,20 @@ class PairNames(dict):
         return name
 
 
-def told_groups(
-    a_ids: list[int], b_ids: list[int], groups: tuple[list[int], list[int]], owner: np.ndarray, linked: np.ndarray, names: PairNames
-) -> str:
-    """The groups as ``a1,a2|b1;a3|b2``: ids of both lists."""
+def told_groups(a: Side, b: Side, groups: tuple[np.ndarray, np.ndarray, np.ndarray], owner: np.ndarray, linked: np.ndarray, names: PairNames) -> list[str]:
+    """The groups of each text as ``a1,a2|b1;a3|b2``: ids of both sides."""
     often = np.bincount(owner, minlength=len(groups[0]))
     firsts = np.cumsum(often) - often
     told = [names[pair] for pair in linked[firsts].tolist()]
-    if len(owner) > len(told):
-        a_told, b_told = [names.a[i] for i in a_ids], [names.b[i] for i in b_ids]
-        a_from, b_from = [0, *groups[0]], [0, *groups[1]]
-        for g in np.flatnonzero(often > 1).tolist():
-            told[g] = ",".join(a_told[a_from[g] : a_from[g + 1]]) + "|" + ",".join(b_told[b_from[g] : b_from[g + 1]])
-    return ";".join(told)
+    a_ids, b_ids = a.ids.tolist(), b.ids.tolist()
+    several = np.flatnonzero(often > 1)
+    spans = [np.concatenate([[0], stops]) for stops in groups[:2]]
+    edges = (spans[0][several], spans[0][several + 1], spans[1][several], spans[1][several + 1])
+    a_name, b_name = names.a.__getitem__, names.b.__getitem__
+    for g, a_from, a_to, b_from, b_to in zip(several.tolist(), *(e.tolist() for e in edges)):
+        told[g] = ",".join(map(a_name, a_ids[a_from:a_to])) + "|" + ",".join(map(b_name, b_ids[b_from:b_to]))
+    bounds = groups[2].tolist()
+    return [";".join(told[x:y]) for x, y in zip(bounds, bounds[1:])]
 
 
 def _pairs_step(a_path: str, b_path: str):
@@ -163,22 +236,30 @@ def _pairs_step(a_path: str, b_path: str):
         width = len(piece_coder(b_path).tokens)
         names = PairNames(len(file_coder(a_path).tokens), width)
         for batch in batches:
-            numbers, digests, pairs, times = [], [], [], []
-            for a_ids, b_ids, a_ends, b_ends in coded(batch.column("text").to_pylist(), a_path, b_path):
-                groups = groups_of(a_ends, b_ends)
-                a_links, b_links, owner = links_of(groups, a_ends, b_ends)
-                numbers.append((len(a_ids), len(b_ids), len(groups[0]), len(a_links)))
-                linked = np.array(a_ids, np.int64)[a_links] * width + np.array(b_ids, np.int64)[b_links]
-                told = told_groups(a_ids, b_ids, groups, owner, linked, names)
-                digests.append(hashlib.sha256(told.encode()).hexdigest() if a_ids else "")
-                distinct, often = np.unique(linked, return_counts=True)
-                pairs.append(distinct)
-                times.append(often.astype(np.int32))
+            n = batch.num_rows
+            a, b = coded(batch.column("text").to_pylist(), a_path, b_path)
+            groups = text_groups(a, b)
+            a_links, b_links, owner = links_of(groups[0], a.ends, b.ends)
+            linked = a.ids[a_links].astype(np.int64) * width + b.ids[b_links]
+            told = told_groups(a, b, groups, owner, linked, names)
+            digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in told]
+            text_of = np.repeat(np.arange(n), np.diff(groups[2]))[owner]
+            order = np.lexsort((linked, text_of))
+            pair, at = linked[order], text_of[order]
+            first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])])) if len(pair) else order
+            often = np.diff(np.append(first, len(pair)))
+            bounds = pa.array(np.searchsorted(at[first], np.arange(n + 1)).astype(np.int32))
+            counts = {
+                "n_a": np.diff(a.bounds),
+                "n_b": np.diff(b.bounds),
+                "n_groups": np.diff(groups[2]),
+                "n_links": np.bincount(text_of, minlength=n),
+            }
             made = {"row": batch.column("row"), "id": batch.column("id")}
-            for at, name in enumerate(("n_a", "n_b", "n_groups", "n_links")):
-                made[name] = pa.array([n[at] for n in numbers], pa.int64())
+            made |= {name: pa.array(values.astype(np.int64)) for name, values in counts.items()}
             made["groups_sha256"] = pa.array(digests, pa.string())
-            made["pairs"], made["times"] = _lists(pairs, pa.int64()), _lists(times, pa.int32())
+            made["pairs"] = pa.ListArray.from_arrays(bounds, pa.array(pair[first], pa.int64()))
+            made["times"] = pa.ListArray.from_arrays(bounds, pa.array(often.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(made)
 
     return run

@@ -98,11 +98,13 @@ class ChunkCoder:
 
     Most texts are parted by single blanks; these are cut at the blanks alone, as a blank and what follows up to the next are
     whole chunks. ``lengths`` has the bytes of every id. New chunks that begin with one blank are encoded together, as the
-    cuts between them are cuts of the joined text as well, and parted by the byte lengths of their ids.
+    cuts between them are cuts of the joined text as well, and parted by the byte lengths of their ids. Texts that match
+    ``whole`` are not cut at single blanks; if it is given, not at all.
     """
 
-    def __init__(self, whole_ids: Callable[[list[str]], list[np.ndarray]], lengths: np.ndarray, kept: int | None = None):
-        self.whole_ids, self.lengths = whole_ids, lengths
+    def __init__(self, whole_ids: Callable[[list[str]], list[np.ndarray]], lengths: np.ndarray, kept: int | None = None, whole: str | None = None):
+        self.whole_ids, self.lengths, self.whole = whole_ids, lengths, WIDE_GAP if whole is None else whole
+        self.rest_ids = self._chunk_ids if whole is None else self._text_ids
         self.chunks, self.spaced = Recent(kept or KEPT_CHUNKS), Recent(kept or KEPT_CHUNKS)
 
     def _joined(self, chunks: list[str]) -> list[bytes]:
@@ -113,8 +115,13 @@ class ChunkCoder:
         pieces = list(zip(cuts, cuts[1:])) if chunks else []
         found: list[bytes] = []
         for (first, last), ids in zip(pieces, self.whole_ids(["".join(chunks[a:b]) for a, b in pieces])):
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[first:last])) + 1
-            at, raw = (4 * stops).tolist(), ids.tobytes()
+            upto, wanted = np.cumsum(self.lengths[ids]), np.cumsum(sizes[first:last])
+            stops = np.searchsorted(upto, wanted)
+            if not len(upto) or upto[-1] != wanted[-1] or (upto[stops] != wanted).any():
+                # the tokens are not the bytes of the text, so they do not tell where a chunk ends
+                found += [alone.tobytes() for alone in self.whole_ids(chunks[first:last])]
+                continue
+            at, raw = (4 * (stops + 1)).tolist(), ids.tobytes()
             found += [raw[a:b] for a, b in zip([0, *at], at)]
         return found
 
@@ -127,6 +134,9 @@ class ChunkCoder:
             other = [not p for p in plain]
             known.young.update(zip(compress(new, other), [ids.tobytes() for ids in self.whole_ids(list(compress(led, other)))]))
 
+    def _text_ids(self, texts: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in self.whole_ids(texts)]
+
     def _chunk_ids(self, texts: list[str]) -> list[bytes]:
         parts = [CHUNK.findall(text) for text in texts]
         new = self.chunks.missing(list(set().union(*parts)))
@@ -139,7 +149,7 @@ class ChunkCoder:
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's begin and the last one's end."""
         given = pa.array(texts, pa.string())
-        wide = pc.match_substring_regex(given, WIDE_GAP).to_numpy(zero_copy_only=False)
+        wide = pc.match_substring_regex(given, self.whole).to_numpy(zero_copy_only=False)
         # a text that is not parted by single blanks alone goes as one first word
         words = pc.split_pattern(pc.if_else(pa.array(wide), "", given), " ")
         numbered = words.flatten().dictionary_encode()
@@ -152,7 +162,7 @@ class ChunkCoder:
         used[places[~firsts]] = True
         needed = np.flatnonzero(used)
         spaced = distinct[needed].tolist()
-        whole = self._chunk_ids([t if w else distinct[n] for t, w, n in zip(texts, wide, places[starts[:-1]])])
+        whole = self.rest_ids([t if w else distinct[n] for t, w, n in zip(texts, wide, places[starts[:-1]])])
         new = self.spaced.missing(spaced)
         self._put(self.spaced, new, " ")
         held = whole + [self.spaced.young[word] for word in spaced]
