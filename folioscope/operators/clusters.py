@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as V
-from folioscope.operators.vectors import Metric, bounded_array
+from folioscope.operators.ordering import global_rank
+from folioscope.operators.vectors import Metric, against
 from folioscope.session import cut_lineage
 
-# tables of clusters or micro-clusters beyond this size are refused where they are handed to every task
-MAX_CLUSTERS = 5000
+# centres up to which k-means keeps them on the driver; more are a table
+HELD_CENTRES = 5000
 
 
 def mean_vector(vector: str) -> Column:
@@ -47,14 +48,12 @@ def cluster_highlights(
     return counts, marked.filter("relevant").select("level", "cluster_id", key)
 
 
-def cluster_similarity(clusters: DataFrame, vector: str = "vector", limit: int = MAX_CLUSTERS) -> DataFrame:
+def cluster_similarity(clusters: DataFrame, vector: str = "vector", tile_rows: int | None = None) -> DataFrame:
     """Cosine between the mean vectors of all clusters of a level; 1 on the diagonal."""
-    table = bounded_array(
-        clusters.select("level", "cluster_id", vector), limit, "cluster_similarity", "level", "cluster_id", vector
-    )
-    rows = clusters.select("level", F.col("cluster_id").alias("i"), F.col(vector).alias("_v"), table.alias("_all"))
+    rows = clusters.select("level", F.col("cluster_id").alias("i"), F.col(vector).alias("_v"))
+    met, _ = against(rows, clusters, "level", "cluster_id", vector, tile_rows=tile_rows)
     same = F.explode(F.filter("_all", lambda o: o["level"] == F.col("level")))
-    pairs = rows.select("level", "i", "_v", same.alias("o"))
+    pairs = met.select("level", "i", "_v", same.alias("o"))
     sim = F.when(F.col("i") == F.col("o.cluster_id"), F.lit(1.0)).otherwise(
         V.cosine(F.col("_v"), F.col(f"o.{vector}"))
     )
@@ -62,20 +61,20 @@ def cluster_similarity(clusters: DataFrame, vector: str = "vector", limit: int =
 
 
 def silhouette(
-    docs: DataFrame, membership: DataFrame, key: str = "doc_id", vector: str = "vector", limit: int = MAX_CLUSTERS
+    docs: DataFrame, membership: DataFrame, key: str = "doc_id", vector: str = "vector", tile_rows: int | None = None
 ) -> DataFrame:
     """Silhouette of every document per level, over squared Euclidean distances.
 
     The mean squared distance to a cluster follows from its size, mean vector and mean squared length, so
-    one pass over the documents replaces the comparison of all pairs. A single-member cluster gives 0.
+    one pass over the documents replaces the comparison of all pairs. A single-member cluster gives 0. Of a
+    table of clusters in several tiles, the nearest of each tile are put together per document.
     """
     joined = membership.select(key, "level", "cluster_id").join(docs.select(key, vector), key)
     squared = joined.withColumn("_sq", V.dot(F.col(vector), F.col(vector)))
     stats = squared.groupBy("level", "cluster_id").agg(
         F.count(F.lit(1)).alias("size"), F.avg("_sq").alias("mean_sq"), mean_vector(vector).alias("mean")
     )
-    table = bounded_array(stats, limit, "silhouette", "level", "cluster_id", "size", "mean_sq", "mean")
-    rows = squared.withColumn("_all", table)
+    rows, tiles = against(squared, stats, "level", "cluster_id", "size", "mean_sq", "mean", tile_rows=tile_rows)
     distance = F.transform(
         F.filter("_all", lambda c: c["level"] == F.col("level")),
         lambda c: F.struct(
@@ -87,9 +86,10 @@ def silhouette(
     spread = rows.select(key, "level", "cluster_id", distance.alias("_d"))
     own = F.get(F.filter("_d", lambda c: c["own"]), F.lit(0))
     other = F.array_min(F.transform(F.filter("_d", lambda c: ~c["own"]), lambda c: c["d"]))
-    near = spread.select(key, "level", "cluster_id", own.alias("_own"), other.alias("_b")).withColumn(
-        "_a", F.col("_own.d") * F.col("_own.size") / F.nullif(F.col("_own.size") - 1, F.lit(0))
-    )
+    near = spread.select(key, "level", "cluster_id", own.alias("_own"), other.alias("_b"))
+    if tiles > 1:
+        near = near.groupBy(key, "level", "cluster_id").agg(F.max("_own").alias("_own"), F.min("_b").alias("_b"))
+    near = near.withColumn("_a", F.col("_own.d") * F.col("_own.size") / F.nullif(F.col("_own.size") - 1, F.lit(0)))
     value = (F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0))
     return near.select(key, "level", "cluster_id", F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
@@ -128,12 +128,12 @@ def cluster_linkage(
     metric: Metric = V.euclidean,
     cluster: str = "cluster_id",
     vector: str = "vector",
-    limit: int = MAX_CLUSTERS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """Distance (a, b, distance), a < b, between clusters of points.
 
     Centroid and Ward linkage need the cluster means only. Single, complete and average linkage compare
-    the points themselves, so they take a bounded table such as micro-cluster centres; ``limit`` is checked.
+    the points themselves, tile by tile; each tile gives the least, greatest or summed distance per pair of clusters.
     """
     if method not in LINKAGES:
         raise ValueError(f"linkage {method!r} is none of {LINKAGES}")
@@ -141,10 +141,10 @@ def cluster_linkage(
         members = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), mean_vector(vector).alias(vector))
     else:
         members = points.select(cluster, F.lit(1).alias("size"), vector)
-    table = bounded_array(members, limit, f"{method} linkage", cluster, "size", vector)
     rows = members.select(F.col(cluster).alias("a"), F.col("size").alias("_n"), F.col(vector).alias("_v"))
+    met, _ = against(rows, members, cluster, "size", vector, tile_rows=tile_rows)
     others = F.explode(F.filter("_all", lambda o: o[cluster] > F.col("a")))
-    pairs = rows.withColumn("_all", table).select("a", "_n", "_v", others.alias("o"))
+    pairs = met.select("a", "_n", "_v", others.alias("o"))
     between = pairs.select(
         "a",
         F.col(f"o.{cluster}").alias("b"),
@@ -172,22 +172,23 @@ def merge_step(points: DataFrame, method: str = "ward", cluster: str = "cluster_
     )
 
 
-def centre_array(centres: DataFrame, limit: int = MAX_CLUSTERS) -> Column:
-    return bounded_array(centres.select("label", "vector"), limit, "centres", "label", "vector")
-
-
-def kmeans_assign(docs: DataFrame, centres: DataFrame, key: str = "doc_id", vector: str = "vector") -> DataFrame:
-    """Nearest centre of every document, ties to the lower label. The centres reach the tasks as one array."""
-    rows = docs.withColumn("_centres", centre_array(centres))
+def kmeans_assign(
+    docs: DataFrame, centres: DataFrame, key: str = "doc_id", vector: str = "vector", tile_rows: int | None = None
+) -> DataFrame:
+    """Nearest centre of every document, ties to the lower label. The centres reach the tasks in tiles."""
+    rows, tiles = against(docs.select(key, vector), centres.select("label", F.col("vector").alias("_centre")), "label", "_centre", tile_rows=tile_rows)
     nearest = F.array_min(
         F.transform(
-            "_centres",
+            "_all",
             lambda c: F.struct(
-                V.squared_euclidean(F.col(vector), c["vector"]).alias("d"), c["label"].alias("label")
+                V.squared_euclidean(F.col(vector), c["_centre"]).alias("d"), c["label"].alias("label")
             ),
         )
     )
-    return rows.select(key, vector, nearest["label"].alias("label"))
+    found = rows.select(key, vector, nearest.alias("_best"))
+    if tiles > 1:
+        found = found.groupBy(key, vector).agg(F.min("_best").alias("_best"))
+    return found.select(key, vector, F.col("_best.label").alias("label"))
 
 
 def kmeans_update(
@@ -215,14 +216,15 @@ def kmeans(
 ) -> tuple[DataFrame, DataFrame]:
     """Lloyd's iterations from the first ``k`` documents; k defaults to round(sqrt(n / 2)).
 
-    The driver holds the k centres; every iteration is one pass with partial sums per task, and the
-    iterations end early once no centre moves. Returns (key, label) and the centres (label, vector, size).
+    Up to ``HELD_CENTRES`` centres are held on the driver; more are a table, met in tiles. Every iteration is one pass with
+    partial sums per task, and the iterations end early once no centre moves. Returns (key, label) and the centres
+    (label, vector, size).
     """
     data = cut_lineage(docs.select(key, vector))
     if k is None:
         k = max(1, round((data.count() / 2) ** 0.5))
-    if k > MAX_CLUSTERS:
-        raise ValueError(f"{k} centres are more than {MAX_CLUSTERS}")
+    if k > HELD_CENTRES:
+        return _kmeans_tables(data, k, iterations, key, vector)
     centres = np.array([row[0] for row in data.orderBy(key).limit(k).select(vector).collect()])
     for _ in range(iterations):
         labelled = data.select(vector, _nearest(centres)(F.col(vector)).alias("label"))
@@ -242,13 +244,27 @@ def kmeans(
     return labels, table.join(sizes, "label", "left").fillna(0, ["size"])
 
 
+def _kmeans_tables(data: DataFrame, k: int, iterations: int, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """``kmeans`` with the centres as a table, written in each iteration."""
+    first = global_rank(data, [F.col(key)], "label", start=0).filter(F.col("label") < k)
+    centres = cut_lineage(first.select(F.col("label").cast("int").alias("label"), F.col(vector).alias("vector")))
+    for _ in range(iterations):
+        moved = cut_lineage(kmeans_update(kmeans_assign(data, centres, key, vector), centres, vector))
+        apart = F.exists(F.zip_with("vector", "_old", lambda a, b: F.abs(a - b)), lambda d: d > 1e-12)
+        settled = moved.join(centres.select("label", F.col("vector").alias("_old")), "label").filter(apart).isEmpty()
+        centres = moved
+        if settled:
+            break
+    labels = kmeans_assign(data, centres, key, vector).select(key, "label")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return labels, centres.join(sizes, "label", "left").fillna(0, ["size"])
+
+
 def kmeans_1d(df: DataFrame, value: str, order: Sequence[Column], k: int, iterations: int = 1000) -> DataFrame:
     """One-dimensional k-means from systematically sampled starts, until stable; a later centre wins ties.
 
     Works on distinct values with their counts. Returns (value, label, n) per distinct value.
     """
-    from folioscope.operators.ordering import global_rank
-
     rows = df.filter(F.col(value).isNotNull())
     n = rows.count()
     hop = int(n / (k + 1) + 0.5)

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.session import cut_lineage
+
 BUCKETS = 1024
 
 
@@ -55,8 +57,10 @@ def keep_top_edges(
 
     ``bound`` gives k from the number of edges of the source; k = 0, or k beyond that number, keeps all.
     The k-th value is found by counting: first per similarity bucket, then per distinct value inside the
-    one bucket that holds it. A source with very many edges is pre-aggregated twice and never sorted whole.
+    one bucket that holds it. A source with very many edges is pre-aggregated twice and never sorted whole. The edges are
+    read several times, so they are written once.
     """
+    edges = cut_lineage(edges)
     ranges = edges.agg(F.min(sim).alias("lo"), F.max(sim).alias("hi"))
     width = ranges.select(F.nullif((F.col("hi") - F.col("lo")), F.lit(0.0))).scalar()
     low = ranges.select("lo").scalar()

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.functions.words import FUNCTION_WORDS
+from folioscope.operators.similarity import similar_pairs
 from folioscope.session import cut_lineage
 
 
@@ -126,27 +125,6 @@ def distinct_vectors(weights: DataFrame, key: str = "doc_id") -> tuple[DataFrame
     return reps.select("rep", "vector"), members
 
 
-def _dot_batches(batches):
-    """Dot products of the sparse rows (ti, wi) and (tj, wj), a whole Arrow batch at once."""
-    for batch in batches:
-        n = batch.num_rows
-
-        def flat(terms, values):
-            lists = batch.column(terms)
-            lengths = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(n, dtype=np.int64), lengths)
-            # terms are sorted inside a row, so row and term together are sorted over the batch
-            keys = (row << 39) | lists.flatten().to_numpy(zero_copy_only=False)
-            return row, keys, batch.column(values).flatten().to_numpy(zero_copy_only=False)
-
-        row_i, key_i, w_i = flat("ti", "wi")
-        _, key_j, w_j = flat("tj", "wj")
-        at = np.minimum(np.searchsorted(key_j, key_i), len(key_j) - 1)
-        hit = key_j[at] == key_i
-        dots = np.bincount(row_i[hit], weights=w_i[hit] * w_j[at[hit]], minlength=n)
-        yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(dots)], ["i", "j", "sim"])
-
-
 def cosine_pairs(weights: DataFrame, min_sim: float, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """All pairs of distinct unit vectors with cosine at least ``min_sim``, and the copies of each vector.
 
@@ -162,34 +140,11 @@ def dot_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """All pairs of distinct vectors, no longer than ``max_norm``, with dot product at least ``min_sim``.
 
-    Exact, by prefix filtering: with the terms of every vector in one global order, rarest first, a pair
-    can reach the bound only if the two share a term in their prefixes, the part before the length of the
-    rest times ``max_norm`` falls under the bound. Frequent terms stay in the rest, so they seldom generate
-    pairs, and the join on them is split by the skew handling of adaptive execution.
+    Exact; ``similarity`` tells how. Returns the pairs (i, j, sim) of representatives and the membership (doc_id, rep).
     """
-    key_type = weights.schema[key].dataType.simpleString()
     numbered = weights.join(numbered_terms(weights), "term").select(key, "tid", "weight", "df")
     reps, members = distinct_vectors(numbered, key)
-    reps = cut_lineage(reps)
-    entries = reps.select("rep", F.explode("vector").alias("e")).select("rep", "e.tid", "e.weight", "e.df")
-    frequent_first = Window.partitionBy("rep").orderBy(F.col("df").desc(), F.col("tid").desc())
-    mass = F.sum(F.col("weight") * F.col("weight")).over(frequent_first.rowsBetween(Window.unboundedPreceding, 0))
-    # the slack keeps pairs that meet the bound only after rounding
-    least = ((min_sim - 1e-6) / max_norm) ** 2
-    prefix = entries.withColumn("mass", mass).filter(F.col("mass") >= least).select("rep", "tid")
-    left, right = prefix.select("tid", F.col("rep").alias("i")), prefix.select("tid", F.col("rep").alias("j"))
-    candidates = left.join(right, "tid").filter(F.col("i") < F.col("j")).select("i", "j").distinct()
-
-    def side(name: str) -> DataFrame:
-        return reps.select(
-            F.col("rep").alias(name),
-            F.col("vector.tid").alias(f"t{name}"),
-            F.col("vector.weight").alias(f"w{name}"),
-        )
-
-    matched = candidates.join(side("i"), "i").join(side("j"), "j")
-    scored = matched.mapInArrow(_dot_batches, f"i {key_type}, j {key_type}, sim double")
-    return scored.filter(F.round("sim", 6) >= min_sim), members
+    return similar_pairs(cut_lineage(reps), min_sim, max_norm), members
 
 
 # The weights of the parts in the combined similarity.

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import vectors as V
+from folioscope.session import cut_lineage
 
 Metric = Callable[[Column, Column], Column]
 
+#: Rows of a tile of a table that all rows meet, tiles that are sent to every task, and tasks that share a tile beyond.
+TILE_ROWS, SENT_TILES, SALTS = 2000, 8, 32
+
 
 def dimension_rows(docs: DataFrame, key: str = "doc_id", vector: str = "vector") -> DataFrame:
     """Long form: one row per document and dimension, dimensions counted from 0."""
@@ -69,29 +73,35 @@ def nearest_docs(docs: DataFrame, query: Column, k: int, key: str = "doc_id", ve
     return ranked.orderBy(F.col("sim").desc(), key).limit(k)
 
 
-def bounded_array(df: DataFrame, limit: int, what: str, *columns: str) -> Column:
-    """A small table as one sorted array of structs, as a scalar subquery.
+def against(rows: DataFrame, table: DataFrame, *columns: str, tile_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Every row of ``rows`` with each tile of ``table``, an array ``_all`` of structs of ``columns``; and the number of tiles.
 
-    The size is checked inside the query: more than ``limit`` rows raise an error instead of growing the
-    value every task receives.
+    A tile has ``tile_rows`` rows at most, and a row of ``rows`` comes once for each tile, so what is taken from
+    ``_all`` is to be put together over the tiles. A few tiles are sent to all tasks; of more, each meets the rows in several
+    tasks. Nothing is left out, whatever the size of the table.
     """
-    rows = df.limit(limit + 1).agg(
-        F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"), F.count(F.lit(1)).alias("n")
-    )
-    checked = F.when(F.col("n") <= limit, F.col("rows")).otherwise(
-        F.raise_error(F.lit(f"{what}: more than {limit} rows"))
-    )
-    return rows.select(checked.alias("rows")).scalar()
+    tile_rows = tile_rows or TILE_ROWS
+    # written, so that the numbers below are the same if a task runs again
+    table = cut_lineage(table.select(*columns))
+    tiles = max(1, -(-table.count() // tile_rows))
+    dealt = table.withColumn("_tile", F.pmod(F.monotonically_increasing_id(), F.lit(tiles)))
+    packed = dealt.groupBy("_tile").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_all"))
+    spread = rows.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)).cast("array<bigint>")))
+    if tiles <= SENT_TILES:
+        return spread.join(F.broadcast(packed), "_tile").drop("_tile"), tiles
+    salted = spread.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["_tile", "_salt"]).drop("_tile", "_salt"), tiles
 
 
 def pairwise_distance(
-    points: DataFrame, metric: Metric, key: str = "point_id", vector: str = "vector", limit: int = 5000
+    points: DataFrame, metric: Metric, key: str = "point_id", vector: str = "vector", tile_rows: int | None = None
 ) -> DataFrame:
-    """Distances (i, j, distance), i < j, between the rows of a small table such as cluster centres.
+    """Distances (i, j, distance), i < j, between all rows of a table such as cluster centres, tile by tile.
 
-    The table is bounded by ``limit``, checked in the query. Document tables go through ``cosine_pairs``.
+    The result grows with the square of the table; document tables go through ``cosine_pairs``.
     """
-    others = bounded_array(points.select(key, vector), limit, "pairwise_distance", key, vector)
-    rows = points.select(F.col(key).alias("i"), F.col(vector).alias("_v"), others.alias("_all"))
-    spread = rows.select("i", "_v", F.explode(F.filter("_all", lambda o: o[key] > F.col("i"))).alias("o"))
+    rows = points.select(F.col(key).alias("i"), F.col(vector).alias("_v"))
+    met, _ = against(rows, points, key, vector, tile_rows=tile_rows)
+    spread = met.select("i", "_v", F.explode(F.filter("_all", lambda o: o[key] > F.col("i"))).alias("o"))
     return spread.select("i", F.col(f"o.{key}").alias("j"), metric(F.col("_v"), F.col(f"o.{vector}")).alias("distance"))

@@ -69,6 +69,11 @@ def doc_embedding(spark, sf_dir):
     return E.doc_embedding(E.simple_words(documents(spark, sf_dir)))
 
 
+@query("word_mean_embedding")
+def word_mean_embedding(spark, sf_dir):
+    return E.word_mean_embedding(E.simple_words(documents(spark, sf_dir)))
+
+
 @query("doc_embedding_parts")
 def doc_embedding_parts(spark, sf_dir):
     rows = parts(spark, sf_dir)
@@ -91,9 +96,7 @@ def doc_embedding_attention(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark")
     listed = bench.select(F.explode(T.tokens_filtered(F.col("text"))).alias("phrase"))
     pairs = E.attention_context_pairs(E.sentence_words(documents(spark, sf_dir)), listed)
-    return E.doc_embedding_sentences(
-        parts(spark, sf_dir), ["title", "abstract"], extra=E.attention_sentences(pairs)
-    )
+    return E.doc_embedding_sentences(parts(spark, sf_dir), ["title", "abstract"], emphasis=pairs)
 
 
 @query("layout_2d")
@@ -111,6 +114,29 @@ def neighbor_affinity(spark, sf_dir):
     return NB.neighbor_affinity(forward.unionByName(backward), 20.0)
 
 
+NEIGHBORS, PERPLEXITY = 15, 5.0
+
+
+@query(
+    "nearest_graph",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    reps AS (SELECT min(vec_id) AS id, v FROM v GROUP BY v),
+    d AS (SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)), 9) AS d
+      FROM reps a JOIN reps b ON a.id <> b.id)
+    SELECT i, j, round(d, 6) AS d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= {NEIGHBORS}""",
+)
+def nearest_graph(spark, sf_dir):
+    edges, _ = NB.nearest_graph(vectors(spark, sf_dir), NEIGHBORS)
+    return edges.withColumn("d", F.round("d", 6))
+
+
+@query("embedding_affinity")
+def embedding_affinity(spark, sf_dir):
+    """Kernel weights between the embeddings' nearest neighbours."""
+    edges, _ = NB.nearest_graph(vectors(spark, sf_dir), NEIGHBORS)
+    return NB.neighbor_affinity(edges, PERPLEXITY)
+
+
 @query("hierarchical_clusters")
 def hierarchical_clusters(spark, sf_dir):
     return H.hierarchical_clusters(vectors(spark, sf_dir), [20, 10, 5])[0]

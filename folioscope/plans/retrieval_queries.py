@@ -10,9 +10,6 @@ from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query, table, texts
 from folioscope.plans.vector_queries import vectors
 
-# Documents taken in each round of feedback, whatever the size of the corpus.
-FEEDBACK_BATCH = 25
-
 # Prior phrases: the distinct content words of the benchmark texts.
 PRIOR = f"""{S.filtered_rows('documents').replace('term_rows', 'doc_terms').replace('bare_rows', 'doc_bare')
   .replace('toks', 'doc_toks').replace('tok ', 'doc_tok ').replace('FROM tok', 'FROM doc_tok')},
@@ -98,10 +95,36 @@ def highlight_flag(spark, sf_dir):
     return O.highlight_flag(table(spark, sf_dir, "documents").select("doc_id"), ids)
 
 
-@query("feedback_ranking")
+# One document a step, over all rows: the state has every document, its vector, whether and when it was picked, and the
+# sum of the relevant vectors found so far.
+FEEDBACK = """WITH RECURSIVE marked AS (
+  SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND doc_id = vec_id) AS relevant
+  FROM embeddings),
+ordered AS (SELECT *, row_number() OVER (ORDER BY v[1] DESC, doc_id) - 1 AS place FROM marked),
+seeded AS (SELECT *, place <= coalesce((SELECT min(place) FROM ordered WHERE relevant), place) AS first FROM ordered),
+begun AS (SELECT list(x ORDER BY dim) AS total FROM (
+  SELECT dim, sum(x) AS x FROM (
+    SELECT unnest(v) AS x, unnest(range(len(v))) AS dim FROM seeded WHERE first AND relevant) GROUP BY dim)),
+steps AS (
+  SELECT doc_id, v, relevant, CASE WHEN first THEN place END AS rank, CASE WHEN first THEN 0 END AS round,
+    (SELECT total FROM begun) AS total, 1 AS turn, (SELECT count(*) FROM seeded WHERE first) AS taken
+  FROM seeded
+  UNION ALL
+  SELECT doc_id, v, relevant, CASE WHEN place = 1 AND rank IS NULL THEN taken ELSE rank END,
+    CASE WHEN place = 1 AND rank IS NULL THEN turn ELSE round END,
+    CASE WHEN hit THEN list_transform(list_zip(total, best), lambda z: z[1] + z[2]) ELSE total END,
+    turn + hit::INT, taken + 1
+  FROM (
+    SELECT *, first_value(relevant) OVER (ORDER BY place) AS hit, first_value(v) OVER (ORDER BY place) AS best FROM (
+      SELECT *, row_number() OVER (ORDER BY rank IS NOT NULL, round(list_cosine_similarity(v, total), 12) DESC, doc_id) AS place
+      FROM steps WHERE taken < (SELECT count(*) FROM marked))))
+SELECT doc_id, rank, round, relevant FROM steps WHERE taken = (SELECT count(*) FROM marked)"""
+
+
+@query("feedback_ranking", FEEDBACK)
 def feedback_ranking(spark, sf_dir):
     docs = O.mark_relevant(vectors(spark, sf_dir).select("doc_id", "vector"), relevant(spark, sf_dir))
     # the seed: documents in the order of their first component, up to the first relevant one
     order = O.global_rank(docs.select("doc_id", "relevant", F.col("vector")[0].alias("x")),
                           [F.col("x").desc(), F.col("doc_id")], start=0)
-    return O.feedback_ranking(docs, O.seed_until_relevant(order), FEEDBACK_BATCH)
+    return O.feedback_ranking(docs, O.seed_until_relevant(order)).drop("sim")

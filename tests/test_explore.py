@@ -123,3 +123,19 @@ def test_hull_holds_all_points(spark):
     edges = np.roll(corners, -1, axis=0) - corners
     side = edges[:, None, 0] * (cloud[None, :, 1] - corners[:, None, 1]) - edges[:, None, 1] * (cloud[None, :, 0] - corners[:, None, 0])
     assert (side >= -1e-9).all()
+
+
+def test_hulls_equal_those_of_all_points_at_once(spark):
+    rng = np.random.default_rng(6)
+    groups = {
+        0: rng.normal(size=(500, 2)), 1: rng.integers(0, 4, (300, 2)).astype(float), 2: np.array([[0.0, 0], [9, 0], [0, 9], [1, 1], [2, 3]]),
+        3: np.stack([np.arange(50.0), 2 * np.arange(50.0)], axis=1), 4: np.repeat([[1.0, 2.0]], 30, axis=0), 5: 1e9 + rng.normal(size=(200, 2)),
+        6: np.array([[0.0, 0], [5, 1], [2, 7]]), 7: rng.normal(size=(300, 2)) * [1e-6, 1e6],
+    }
+    rows = spark.createDataFrame([(g, float(x), float(y)) for g, own in groups.items() for x, y in own], "g int, x double, y double")
+    found = {}
+    for r in hulls.convex_hull(rows.repartition(6), ["g"]).orderBy("g", "pos").collect():
+        found.setdefault(r["g"], []).append((r["x"], r["y"]))
+    assert found == {g: [tuple(p) for p in hulls.hull_points(own).tolist()] for g, own in groups.items()}
+    seen = hulls._outermost(rows, ["g"]).join(rows, "g").filter(~hulls._inside(F.col("ring"), F.col("x"), F.col("y")))
+    assert seen.filter("g = 0").count() < 60

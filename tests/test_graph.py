@@ -86,3 +86,33 @@ def test_three_levels(spark):
     assert pick(1) == [0, 0, 0] and pick(2) == [0, 0, 1] and pick(5) == [2, 3, 4]
     with pytest.raises(ValueError):
         C.three_levels([])
+
+
+@pytest.mark.parametrize("at_once", [0, 12])
+def test_no_node_gains_by_leaving_its_community(spark, at_once):
+    rng = random.Random(9)
+    weights = {}
+    for a, b in itertools.combinations(range(40), 2):
+        if rng.random() < (0.5 if a % 4 == b % 4 else 0.06):
+            weights[a, b] = float(rng.randrange(1, 5))
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "source long, target long, weight double")
+    levels = C.community_levels(edges, at_once)
+    cluster = {r["node"]: r["cluster_id"] for r in levels.filter("level = 0").collect()}
+    total, degree = sum(weights.values()), dict.fromkeys(range(40), 0.0)
+    for (a, b), w in weights.items():
+        degree[a] += w
+        degree[b] += w
+
+    def modularity(of):
+        inner = sum(w for (a, b), w in weights.items() if of[a] == of[b])
+        sums = {}
+        for node, own in of.items():
+            sums[own] = sums.get(own, 0.0) + degree[node]
+        return inner / total - sum((s / 2 / total) ** 2 for s in sums.values())
+
+    last = {r["node"]: r["cluster_id"] for r in levels.filter("level = 2").collect()}
+    assert modularity(last) >= modularity(cluster) > 0.2
+    if levels.select("level", "cluster_id").distinct().groupBy("level").count().select("count").distinct().count() == 1:
+        cluster = last
+    best = modularity(cluster)
+    assert all(modularity({**cluster, node: other}) <= best + 1e-9 for node in cluster for other in set(cluster.values()))

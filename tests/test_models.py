@@ -11,7 +11,9 @@ from folioscope.operators import clusters as K
 from folioscope.operators import embedding as E
 from folioscope.operators import hierarchy as H
 from folioscope.operators import neighbors as NB
+from folioscope.operators import paragraphs as PV
 from folioscope.operators import retrieval as O
+from folioscope.operators import similarity
 from folioscope.operators import terms as M
 from folioscope.operators import topics as TP
 from folioscope.operators import vectors as D
@@ -56,6 +58,35 @@ def test_cosine_pairs_with_a_hot_group_of_copies(spark):
     assert all(found[p] == pytest.approx(expected[p], abs=1e-7) for p in found)
 
 
+@pytest.mark.parametrize("listed, tile", [(None, None), (2, 200), (1000, None)])
+@pytest.mark.parametrize("names", [int, str], ids=["numbers", "texts"])
+def test_pairs_do_not_depend_on_the_way_they_take(spark, listed, tile, names):
+    rng = np.random.default_rng(4)
+    cells = {i: dict.fromkeys(rng.choice(30 if i % 2 else 400, rng.integers(1, 9), replace=False).tolist(), 0.0) for i in range(150)}
+    for own in cells.values():
+        own.update((t, float(rng.random() + 0.1)) for t in own)
+        size = math.sqrt(sum(w * w for w in own.values()))
+        own.update((t, round(w / size, 9)) for t, w in own.items())
+    df = {}
+    for own in cells.values():
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    kind = {int: "long", str: "string"}[names]
+    rows = [(names(i), [(t, w, df[t]) for t, w in sorted(own.items())]) for i, own in cells.items()]
+    reps = spark.createDataFrame(rows, f"rep {kind}, vector array<struct<tid:long,weight:double,df:long>>")
+    for bound in (0.3, 0.9):
+        got = similarity.similar_pairs(reps, bound, 1.0, listed, tile).collect()
+        want = {}
+        for i in cells:
+            for j in cells:
+                if names(i) < names(j):
+                    sim = sum(w * cells[j].get(t, 0.0) for t, w in cells[i].items())
+                    if round(sim, 6) >= bound:
+                        want[names(i), names(j)] = sim
+        assert len(got) == len(want) and {(r["i"], r["j"]): pytest.approx(r["sim"]) for r in got} == want
+    assert similarity.similar_pairs(reps.filter("false"), 0.5, 1.0).count() == 0
+
+
 def test_active_dims_and_scaling(spark):
     rows = spark.createDataFrame([(1, [0.0, 5.0, 1.0]), (2, [1.0, 0.0, 1.5])], "doc_id long, vector array<double>")
     assert [r["active"] for r in D.active_dims(rows, 2).orderBy("doc_id").collect()] == [[0.0, 5.0], [1.0, 0.0]]
@@ -63,9 +94,37 @@ def test_active_dims_and_scaling(spark):
     assert [r["vector"] for r in scaled] == [[0.0, 1.0, 0.0], [1.0, 0.0, 1.0]]
 
 
-def test_bounded_tables_are_refused_beyond_their_limit(docs):
-    with pytest.raises(Exception, match="more than 10 rows"):
-        D.pairwise_distance(docs, V.euclidean, key="doc_id", limit=10).count()
+def rows_of(df):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("sent", [8, 2])
+def test_tables_of_several_tiles_give_the_same(spark, docs, cloud, monkeypatch, sent):
+    monkeypatch.setattr(D, "SENT_TILES", sent)
+    points = docs.withColumnRenamed("label", "cluster_id")
+    fine = docs.select("doc_id", F.lit(0).alias("level"), (F.col("doc_id") % 16).alias("cluster_id"))
+    levels = fine.union(docs.select("doc_id", F.lit(1), F.col("label").cast("long")))
+    summary = K.cluster_summary(docs.selectExpr("doc_id", "vector", "0d as x", "0d as y"), levels)
+    centres = docs.filter("doc_id % 7 = 0").select((F.col("doc_id") / 7).cast("int").alias("label"), "vector")
+    for run in (
+        lambda n: D.pairwise_distance(docs, V.euclidean, key="doc_id", tile_rows=n),
+        lambda n: K.cluster_similarity(summary, tile_rows=n),
+        lambda n: K.silhouette(docs, levels, tile_rows=n),
+        lambda n: K.cluster_linkage(points, "average", tile_rows=n),
+        lambda n: K.cluster_linkage(points, "single", tile_rows=n),
+        lambda n: K.kmeans_assign(docs, centres, tile_rows=n).select("doc_id", "label"),
+    ):
+        whole = rows_of(run(None))
+        assert whole and rows_of(run(7)) == whole
+    assert D.pairwise_distance(docs, V.euclidean, key="doc_id", tile_rows=7).count() == 80 * 79 // 2
+
+
+def test_kmeans_with_centres_as_a_table(docs, monkeypatch):
+    held = rows_of(K.kmeans(docs, 4, iterations=3)[0])
+    monkeypatch.setattr(K, "HELD_CENTRES", 3)
+    monkeypatch.setattr(D, "TILE_ROWS", 2)
+    labels, centres = K.kmeans(docs, 4, iterations=3)
+    assert rows_of(labels) == held and sum(r["size"] for r in centres.collect()) == 80
 
 
 def test_silhouette_of_a_single_member_is_zero(spark, docs):
@@ -106,6 +165,32 @@ def test_ward_is_symmetric_and_levels_are_nested(docs):
     assert four.count() == 4
 
 
+def test_merges_in_rounds_equal_those_one_by_one(spark, docs, monkeypatch):
+    whole = H.hierarchical_clusters(docs, [8, 4, 2], micro=20)
+    monkeypatch.setattr(H, "HELD_MICRO", 5)
+    monkeypatch.setattr(H, "TILE_ROWS", 6)
+    rounds = H.hierarchical_clusters(docs, [8, 4, 2], micro=20)
+    for one, other in zip(whole, rounds):
+        assert one.columns == other.columns and one.dtypes == other.dtypes
+    assert rows_of(whole[0]) == rows_of(rounds[0])
+    plain, found = (sorted(r) for r in (rows_of(whole[1]), rows_of(rounds[1])))
+    # the two sides of a merge have no order
+    assert [(s, {a, b}, n) for s, a, b, _, n in plain] == [(s, {a, b}, n) for s, a, b, _, n in found]
+    assert [d for *_, d, _ in plain] == pytest.approx([d for *_, d, _ in found])
+
+
+def test_copies_merge_first(spark):
+    rows = [(i, 1 + i % 3, [float(i // 4), 0.0]) for i in range(12)]
+    merges = H.merge_rounds(spark.createDataFrame(rows, "id long, size long, vector array<double>"), 5)
+    found = H.numbered_merges(merges, 12).orderBy("step").collect()
+    assert len(found) == 11 and [r["distance"] for r in found[:9]] == [0.0] * 9 and found[-1]["size"] == sum(r[1] for r in rows)
+    made = {i: {i} for i in range(12)}
+    for r in found:
+        made[12 + r["step"]] = made.pop(r["a"]) | made.pop(r["b"])
+    assert made == {22: set(range(12))}
+    assert H.merge_rounds(spark.createDataFrame(rows[:1], "id long, size long, vector array<double>")).count() == 0
+
+
 def test_linkages_match_brute_force(docs, cloud):
     rows = docs.withColumnRenamed("label", "cluster_id")
     a, b = cloud[:20], cloud[20:40]
@@ -129,24 +214,33 @@ def test_recall_curve_and_work_saved(spark):
     assert O.wss95(curve).first()["wss"] == pytest.approx((10 - 8) / 11)
 
 
-def test_feedback_ranking_matches_the_one_by_one_process(spark, cloud):
-    points = cloud[::5]
-    relevant = [i % 3 == 0 for i in range(len(points))]
+def one_by_one(points, relevant, order):
+    order, hits = list(order), [i for i in order if relevant[i]]
+    while len(order) < len(points):
+        mean = points[hits].mean(axis=0) if hits else np.zeros(points.shape[1])
+        size = np.linalg.norm(points, axis=1) * np.linalg.norm(mean)
+        sims = np.where(size > 0, np.round(points @ mean / np.where(size > 0, size, 1), 10), -2)
+        best = max((i for i in range(len(points)) if i not in order), key=lambda i: (sims[i], -i))
+        order.append(best)
+        hits += [best] if relevant[best] else []
+    return order
+
+
+@pytest.mark.parametrize("limits", [{}, {"MEANS": 3}, {"held": 2, "KEPT_OUT": 2}, {"held": 0, "MEANS": 4}])
+@pytest.mark.parametrize("share, seed", [(3, [1, 3]), (3, [1]), (99, [0, 2]), (2, list(range(10)))])
+def test_feedback_ranking_matches_the_one_by_one_process(spark, cloud, monkeypatch, limits, share, seed):
+    for name in ("MEANS", "KEPT_OUT"):
+        monkeypatch.setattr(O, name, limits.get(name, getattr(O, name)))
+    points = np.concatenate([cloud[::6], cloud[:24:6], np.zeros((2, 5))])
+    relevant = [i % share == 0 for i in range(len(points))]
     docs = spark.createDataFrame(
         [(i, [float(x) for x in v], r) for i, (v, r) in enumerate(zip(points, relevant))],
         "doc_id long, vector array<double>, relevant boolean",
     )
-    seed = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, rank long")
-    found = [r["doc_id"] for r in O.feedback_ranking(docs, seed, batch=1).orderBy("rank").collect()]
-    order, hits = [1, 3], [3]
-    while len(order) < len(points):
-        mean = points[hits].mean(axis=0)
-        sims = {i: points[i] @ mean / np.linalg.norm(points[i]) / np.linalg.norm(mean) for i in range(len(points)) if i not in order}
-        best = max(sims, key=lambda i: (sims[i], -i))
-        order.append(best)
-        if relevant[best]:
-            hits.append(best)
-    assert found == order
+    first = spark.createDataFrame([(i, at) for at, i in enumerate(seed)], "doc_id long, rank long")
+    rows = O.feedback_ranking(docs, first, held=limits.get("held", 100)).orderBy("rank").collect()
+    assert [r["doc_id"] for r in rows] == one_by_one(points, relevant, seed)
+    assert [r["rank"] for r in rows] == list(range(len(points)))
 
 
 def test_neighbor_affinity_reaches_the_perplexity(spark, cloud):
@@ -171,6 +265,49 @@ def test_neighbor_affinity_reaches_the_perplexity(spark, cloud):
     assert all(r["p"] == pytest.approx(joint[r["i"], r["j"]], abs=1e-5) for r in found)
 
 
+def test_affinity_finds_a_bandwidth_at_any_scale(spark):
+    rng = np.random.default_rng(3)
+    rows, entropy = [], {}
+    for i, scale in enumerate([1e-12, 1.0, 1e9, 1e15]):
+        rows += [(i, 100 + j, float(scale * d)) for j, d in enumerate(np.sort(rng.random(30)) * [1] * 30)]
+    rows += [(10, 100 + j, 0.0) for j in range(20)] + [(10, 130, 5.0)] + [(11, 100, 1.0), (11, 101, 3.0)]
+    edges = spark.createDataFrame(rows, "i long, j long, d double")
+    found = {(r["i"], r["j"]): r["p"] for r in NB.neighbor_affinity(edges, 5.0).collect()}
+    for i in range(4):
+        own = np.array([found[i, 100 + j] for j in range(30)])
+        own = own / own.sum()
+        entropy[i] = math.exp(-(own * np.log(own)).sum())
+    assert all(entropy[i] == pytest.approx(5.0, abs=0.01) for i in range(4))
+    # too many at the least distance: they share all; too few neighbours: all the same
+    assert found[10, 130] == NB.FLOOR and found[10, 100] == pytest.approx(found[10, 119])
+    assert found[11, 100] == pytest.approx(found[11, 101])
+
+
+def exact_nearest(points, k):
+    gaps = np.round(((points[:, None] - points[None]) ** 2).sum(axis=2), 9)
+    np.fill_diagonal(gaps, np.inf)
+    return {(i, int(j)) for i in range(len(points)) for j in np.lexsort((np.arange(len(points)), gaps[i]))[:k]}
+
+
+@pytest.mark.parametrize("limits", [{}, {"group_rows": 200, "leaf_rows": 60}, {"group_rows": 150, "leaf_rows": 150}])
+def test_nearest_graph(spark, limits):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(scale=4, size=(12, 16))
+    points = np.concatenate([c + rng.normal(size=(50, 16)) for c in centres])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)] + [(1000 + i, [float(x) for x in points[7]]) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (5000, None)], "doc_id long, vector array<double>")
+    edges, members = NB.nearest_graph(docs, 5, **limits)
+    found = [(r["i"], r["j"]) for r in edges.collect()]
+    assert len(found) == len(set(found)) == 600 * 5
+    exact = exact_nearest(points, 5)
+    assert len(exact & set(found)) / len(exact) >= (0.9 if limits else 1.0)
+    pairs = spark.createDataFrame(list(exact), "i long, j long")
+    assert NB.recall(edges, pairs) == pytest.approx(len(exact & set(found)) / len(exact))
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    assert len(rep) == 900 and all(rep[1000 + i] == 7 for i in range(300)) and rep[8] == 8
+    assert NB.nearest_graph(docs.filter("false"), 5)[0].count() == 0
+
+
 @pytest.fixture(scope="module")
 def term_vectors(spark):
     topics = [["heart", "attack", "valve", "blood"], ["stock", "bond", "market", "price"], ["goal", "team", "match", "ball"]]
@@ -207,13 +344,71 @@ def test_svd_matches_numpy(term_vectors):
 def test_embedding_and_layout(spark):
     rows = [(i, ["red", "blue", "green"] if i % 2 else ["cat", "dog", "cow"]) for i in range(40)]
     words = spark.createDataFrame(rows, "doc_id long, words array<string>")
-    found = E.doc_embedding(words, dimensions=8, passes=2)
-    assert found.count() == 40 and {len(r["vector"]) for r in found.collect()} == {8}
-    assert E.layout_2d(found).columns == ["doc_id", "x", "y"]
+    for found in (E.doc_embedding(words, dimensions=8, passes=2), E.word_mean_embedding(words, dimensions=8, passes=2)):
+        assert found.count() == 40 and {len(r["vector"]) for r in found.collect()} == {8}
+        assert E.layout_2d(found).columns == ["doc_id", "x", "y"]
     with pytest.raises(ValueError, match="raise min_count"):
         E.check_vocabulary(words, 1, limit=3)
 
 
+def planted(seed, n, size, mixed=0.5, topics=6):
+    """Documents of ``n`` words: some of their topic's, the others of words all share."""
+    rng = np.random.default_rng(seed)
+    own = [[f"t{t}w{i}" for i in range(40)] for t in range(topics)]
+    shared = [f"s{i}" for i in range(200)]
+    docs = [[str(w) for w in np.where(rng.random(size) < mixed, rng.choice(shared, size), rng.choice(own[d % topics], size))] for d in range(n)]
+    return docs, np.arange(n) % topics
+
+
+def share_of_same(vectors, labels, k=5):
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    return (labels[np.argsort(-sims, axis=1)[:, :k]] == labels[:, None]).mean()
+
+
+def matrix(found):
+    return np.array([r["vector"] for r in sorted(found.collect(), key=lambda r: r["doc_id"])])
+
+
+@pytest.mark.parametrize("block_bytes", [64_000_000, 16_000])
+def test_paragraph_vectors_find_planted_topics(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(PV, "BLOCK_BYTES", block_bytes)
+    docs, labels = planted(1, 240, 60, mixed=0.6)
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(docs)], "doc_id long, words array<string>")
+    bag = PV.bags(words, "doc_id")
+    state = PV.begin(words, bag, "doc_id", dimensions=24, parts=4, seed=3)
+    assert state.blocks == (1 if block_bytes > 10**6 else 3)
+    found = share_of_same(matrix(PV.vectors(PV.train(state, bag), "doc_id")), labels)
+    assert found > 0.95
+
+
+def test_paragraph_vectors_are_repeatable_and_take_odd_documents(spark):
+    docs, _ = planted(2, 30, 20)
+    rows = [(i, w) for i, w in enumerate(docs)] + [(30, None), (31, []), (32, ["only once"]), (None, ["s1", "s2"]), (0, ["s1"])]
+    words = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    found = [matrix(E.doc_embedding(words, dimensions=6, passes=3, parts=3)) for _ in range(2)]
+    assert found[0].shape == (33, 6) and (found[0] == found[1]).all()
+    assert (found[0][30:] == 0).all() and (found[0][:30] != 0).any(axis=1).all()
+    assert E.doc_embedding(words.filter("false"), dimensions=6, passes=1).count() == 0
+
+
+def test_emphasis_moves_documents_of_a_phrase_together(spark):
+    docs, labels = planted(5, 120, 40, mixed=0.9)
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(docs)], "doc_id long, words array<string>")
+    marked = set(range(0, 120, 4))
+    pairs = spark.createDataFrame([("s1", f"s{j}", i, 8) for i in marked for j in (2, 3, 4)], "attention string, context string, doc_id long, times long")
+    plain = matrix(E.doc_embedding(words, dimensions=16, passes=10, parts=4))
+    led = matrix(E.doc_embedding(words, dimensions=16, passes=10, parts=4, emphasis=pairs))
+
+    own = sorted(marked)
+    moved = led[own] - plain[own]
+    unit = moved / np.linalg.norm(moved, axis=1, keepdims=True)
+    assert (unit @ unit.T).mean() > 0.5
+    still = [i for i in range(120) if i not in marked]
+    assert (plain[still] == led[still]).all()
+
+
 def test_prior_phrases_are_runs_of_content_words(spark):
     docs = spark.createDataFrame(
         [(1, "The heart attack, the heart of an Attack."), (2, None), (3, "nothing"), (4, "")], "doc_id long, text string"
@@ -225,12 +420,6 @@ def test_prior_phrases_are_runs_of_content_words(spark):
     assert {r["score"] for r in none.collect()} == {0}
 
 
-def test_feedback_needs_a_batch(spark):
-    with pytest.raises(ValueError, match="batch"):
-        docs = spark.createDataFrame([(1, [1.0], True)], "doc_id long, vector array<double>, relevant boolean")
-        O.feedback_ranking(docs, docs.selectExpr("doc_id", "0 as rank"), 0)
-
-
 def test_topic_limits_are_errors(spark):
     words = spark.createDataFrame([(i, [f"w{i % 3}", f"v{i % 4}"]) for i in range(20)], "doc_id long, words array<string>")
     with pytest.raises(ValueError, match="raise min_df"):
