@@ -142,6 +142,8 @@ def dot_pairs(
 
     Exact; ``similarity`` tells how. Returns the pairs (i, j, sim) of representatives and the membership (doc_id, rep).
     """
+    # read for the terms and for the vectors
+    weights = cut_lineage(weights)
     numbered = weights.join(numbered_terms(weights), "term").select(key, "tid", "weight", "df")
     reps, members = distinct_vectors(numbered, key)
     return similar_pairs(cut_lineage(reps), min_sim, max_norm), members
