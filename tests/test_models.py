@@ -341,6 +341,21 @@ def test_svd_matches_numpy(term_vectors):
     assert np.linalg.norm(found, axis=0) == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:5], abs=1e-6)
 
 
+def test_svd_needs_no_basis_of_all_words_in_a_task(spark, term_vectors, monkeypatch):
+    monkeypatch.setattr(TP, "MAX_CELLS", 10)
+    monkeypatch.setattr(TP.R, "PART_DOCS", 4)
+    dense = np.array([r["features"].toArray() for r in term_vectors.rows.orderBy("doc_id").collect()])
+    found = np.array([r["vector"] for r in TP.svd_reduce(term_vectors, size=5, passes=20).orderBy("doc_id").collect()])
+    assert np.linalg.norm(found, axis=0) == pytest.approx(np.linalg.svd(dense, compute_uv=False)[:5], abs=1e-6)
+
+
+def test_svd_of_fewer_directions_than_asked_for(spark):
+    rows = [(i, [["a", "b"], ["c", "d"]][i % 2]) for i in range(20)]
+    vectors = TP.tfidf_vectors(spark.createDataFrame(rows, "doc_id long, words array<string>"), max_df=0.9)
+    found = np.array([r["vector"] for r in TP.svd_reduce(vectors, size=3, passes=4).collect()])
+    assert np.linalg.norm(found, axis=0) == pytest.approx([np.sqrt(10), np.sqrt(10), 0], abs=1e-6)
+
+
 def test_embedding_and_layout(spark):
     rows = [(i, ["red", "blue", "green"] if i % 2 else ["cat", "dog", "cow"]) for i in range(40)]
     words = spark.createDataFrame(rows, "doc_id long, words array<string>")
