@@ -356,6 +356,33 @@ def test_svd_of_fewer_directions_than_asked_for(spark):
     assert np.linalg.norm(found, axis=0) == pytest.approx([np.sqrt(10), np.sqrt(10), 0], abs=1e-6)
 
 
+@pytest.mark.parametrize("docs", [1000, 7])
+def test_nmf_equals_plain_updates_without_all_factors_on_the_driver(spark, term_vectors, monkeypatch, docs):
+    monkeypatch.setattr(TP, "NMF_PART_DOCS", docs)
+    dense = np.array([r["features"].toArray() for r in term_vectors.rows.orderBy("doc_id").collect()])
+    n, width = dense.shape
+    h = TP.R.seeded(np.arange(width), lambda rng, m: rng.uniform(0.1, 1.0, (m, 3)) / width, 1).T
+    for turn in range(4):
+        w = np.ones((n, 3))
+        for _ in range(200):
+            w *= (dense / np.maximum(w @ h, 1e-12)) @ h.T / (h.sum(axis=1) + 0.05 + 0.05 * w)
+        if turn < 3:
+            h = h * (w.T @ (dense / np.maximum(w @ h, 1e-12))) / (w.sum(axis=0)[:, None] + 0.05 + 0.05 * h)
+    weights, words = TP.topics_nmf(term_vectors, topics=3, rounds=3, inner=200)
+    found = np.array([r["weights"] for r in weights.orderBy("doc_id").collect()])
+    place = {t: i for i, t in enumerate(term_vectors.words)}
+    made = np.zeros_like(h)
+    for r in words.collect():
+        made[r["topic"], place[r["term"]]] = r["weight"]
+    assert made == pytest.approx(h, rel=1e-3, abs=1e-6) and found == pytest.approx(w, rel=1e-2, abs=1e-3)
+
+
+def test_topic_vectors_are_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 5}"]) for i in range(400)], "doc_id long, words array<string>")
+    found = TP.tfidf_vectors(rows.coalesce(1), max_df=0.9).rows
+    assert len(found.inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
 def test_embedding_and_layout(spark):
     rows = [(i, ["red", "blue", "green"] if i % 2 else ["cat", "dog", "cow"]) for i in range(40)]
     words = spark.createDataFrame(rows, "doc_id long, words array<string>")
