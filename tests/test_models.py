@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,6 +436,25 @@ def test_paragraph_vectors_are_repeatable_and_take_odd_documents(spark):
     assert E.doc_embedding(words.filter("false"), dimensions=6, passes=1).count() == 0
 
 
+def test_a_part_tells_only_of_words_it_has_changed():
+    rows = [(PV.DOC, 7, [], [], 0.0), (PV.CELL, 7, [0, 2], [3, 1], 0.0), *((PV.WORD, i, [], [], float(i < 2)) for i in range(50))]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "part": pa.array([5] * len(rows), pa.int32()),
+            "kind": pa.array([r[0] for r in rows], pa.int32()),
+            "no": pa.array([r[1] for r in rows], pa.int64()),
+            "vector": pa.array([b""] * len(rows), pa.binary()),
+            "words": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+            "times": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+            "noise": pa.array([r[4] for r in rows], pa.float64()),
+        }
+    )
+    told = [r for b in PV._train_step(4, 1, [0.1, 0.1], 0)(iter([batch])) for r in b.to_pylist()]
+    assert {r["no"] for r in told if r["kind"] == PV.DOC} == {7}
+    # words 0 and 2 are held, word 1 is drawn as noise; no other can have changed
+    assert {r["no"] for r in told if r["kind"] == PV.WORD} == {0, 1, 2}
+
+
 def test_emphasis_moves_documents_of_a_phrase_together(spark):
     docs, labels = planted(5, 120, 40, mixed=0.9)
     words = spark.createDataFrame([(i, w) for i, w in enumerate(docs)], "doc_id long, words array<string>")
