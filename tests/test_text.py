@@ -87,3 +87,21 @@ def test_attention_pairs(spark):
     assert {(r["attention"], r["context"], r["doc_id"], r["times"]) for r in found.collect()} == {
         ("heart attack", "risk", 1, 2), ("age", "risk", 2, 3),
     }
+
+
+def test_attention_pairs_drop_words_outside_the_vocabulary_before_a_shuffle(spark):
+    from folioscope.operators import embedding
+
+    rows = [(i, ["heart", "attack", f"own{i}", "care"] if i % 3 else ["stock", "care"]) for i in range(30)]
+    sentences = spark.createDataFrame(rows, "doc_id long, words array<string>")
+    listed = spark.createDataFrame([("heart attack",), ("stock",)], "phrase string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = embedding.attention_context_pairs(sentences, listed, low=0.1, high=1.1)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        found = {(r["attention"], r["context"], r["doc_id"]): r["times"] for r in pairs.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = {("heart attack" if i % 3 else "stock", "care", i): 1 for i in range(30)}
+    assert found == want and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
