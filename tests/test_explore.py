@@ -1,5 +1,7 @@
 """Brushes, statistics, order and hulls."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,34 @@ def test_hulls_equal_those_of_all_points_at_once(spark):
     assert found == {g: [tuple(p) for p in hulls.hull_points(own).tolist()] for g, own in groups.items()}
     seen = hulls._outermost(rows, ["g"]).join(rows, "g").filter(~hulls._inside(F.col("ring"), F.col("x"), F.col("y")))
     assert seen.filter("g = 0").count() < 60
+
+
+@pytest.mark.parametrize("cells", [2000, 20])
+def test_product_shuffles_matrices_instead_of_products(spark, monkeypatch, cells):
+    from folioscope.operators import matrix as M
+
+    monkeypatch.setattr(M, "TILE_CELLS", cells)
+    rng = random.Random(4)
+
+    def drawn(height, width):
+        rows = [(rng.randrange(height), rng.randrange(width), rng.choice([None, 0.0, 2.0, -1.5])) for _ in range(60)]
+        return [*rows, (None, 1, 1.0), (1, None, 1.0), (2, 0, float("nan"))]
+
+    a, b = drawn(8, 3), drawn(3, 9)
+    want = {}
+    for i, k, x in a:
+        for l, j, y in b:
+            if k is not None and k == l:
+                want.setdefault((i, j), []).append(None if x is None or y is None else x * y)
+    want = {c: None if all(p is None for p in ps) else sum(p for p in ps if p is not None) for c, ps in want.items()}
+    tables = [spark.createDataFrame(rows, "i long, j long, v double") for rows in (a, b)]
+    product = M.multiply(*tables)
+    assert "FlatMapCoGroupsInArrow" in product._jdf.queryExecution().toString()
+    found = {(r["i"], r["j"]): r["v"] for r in product.collect()}
+    assert found.keys() == want.keys()
+    for c, v in want.items():
+        assert (found[c] is None) if v is None else found[c] == pytest.approx(v, nan_ok=True)
+    square = {(r["i"]): r["v"] for r in M.product_diagonal(*tables).collect()}
+    assert set(square) == {i for i, j in want if i == j and i is not None}
+    few = [spark.createDataFrame([(1, 5, 2.0), (2, 6, 3.0)], "i long, j long, v double") for _ in range(2)]
+    assert M.multiply(*few).count() == 0
