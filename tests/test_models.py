@@ -88,6 +88,45 @@ def test_pairs_do_not_depend_on_the_way_they_take(spark, listed, tile, names):
     assert similarity.similar_pairs(reps.filter("false"), 0.5, 1.0).count() == 0
 
 
+def test_tiles_are_read_by_their_pairs_and_not_copied(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, sorted(rng.choice(40, 6, replace=False).tolist()), rng.random(6).round(9).tolist()) for i in range(60)]
+    own = spark.createDataFrame(rows, "rep long, tids array<bigint>, weights array<double>")
+    found = similarity._crowded_pairs(own, 1.0, 40)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    want = {}
+    for i, ti, wi in rows:
+        for j, tj, wj in rows[i + 1 :]:
+            sim = sum(w * dict(zip(tj, wj)).get(t, 0.0) for t, w in zip(ti, wi))
+            if round(sim, 6) >= 1.0:
+                want[i, j] = pytest.approx(sim)
+    got = found.collect()
+    assert len(got) == len(want) > 5 and {(r["i"], r["j"]): r["sim"] for r in got} == want
+
+
+@pytest.mark.parametrize("dense, products", [(1, 7), (10**9, 1), (400, 10**6)])
+def test_dots_of_pieces_do_not_depend_on_how_terms_are_multiplied(monkeypatch, dense, products):
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    monkeypatch.setattr(similarity, "PRODUCTS", products)
+    rng = np.random.default_rng(6)
+    cells = [np.where(rng.random((n, 50)) < rng.random(50) / 2, rng.random((n, 50)), 0.0) for n in (30, 23)]
+    cells[0][4] = 0.0
+    tables = [(c.nonzero()[1], c[c.nonzero()], np.concatenate([[0], np.cumsum((c > 0).sum(1))])) for c in cells]
+    pieces = [similarity._by_term((0, len(c)), t) for c, t in zip(cells, tables)]
+    assert np.allclose(similarity._dots(*pieces, (30, 23)), cells[0] @ cells[1].T)
+
+
+def test_copies_need_no_similarity_join(spark, monkeypatch):
+    def no_join(*_):
+        raise AssertionError("copies were joined by similarity")
+
+    rows = [(1, "a", 0.6), (1, "b", 0.8), (2, "b", 0.8), (2, "a", 0.6), (3, "a", 1.0), (5, "a", 1.0), (4, "a", 0.6000001)]
+    monkeypatch.setattr(M, "similar_pairs", no_join)
+    members = M.vector_copies(spark.createDataFrame(rows, "doc_id long, term string, weight double"))
+    assert {(r["doc_id"], r["rep"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (5, 3), (4, 4)}
+
+
 def test_active_dims_and_scaling(spark):
     rows = spark.createDataFrame([(1, [0.0, 5.0, 1.0]), (2, [1.0, 0.0, 1.5])], "doc_id long, vector array<double>")
     assert [r["active"] for r in D.active_dims(rows, 2).orderBy("doc_id").collect()] == [[0.0, 5.0], [1.0, 0.0]]
