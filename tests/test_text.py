@@ -22,6 +22,17 @@ def test_tokens_filtered(spark):
     assert value(spark, "The follow-up of 12 AEDs, a Trial x!", T.tokens_filtered(F.col("t"))) == ["followup", "trial"]
 
 
+def test_content_words_are_those_of_the_tokens(spark):
+    texts = ["12-34 12-ab a-b 1-2--a x-", "naïve-te -lead trail- a--b 007 7up up7", "\x01ab é é1 U.S.A. it's q", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.transform(T.tokens(F.col("t")), T.strip_punctuation)
+    plain = F.filter(words, lambda w: F.length(w).between(2, 40) & ~w.isin([*FUNCTION_WORDS, "aeds", "aed"]) & ~T.is_digits(w))
+    got = docs.select(T.tokens_filtered(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[0]["a"] == ["12ab", "ab"]
+    found = docs.select(T.tokens_filtered(F.col("t")).alias("a"))
+    assert T.TOKEN not in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_tokens_simple_keeps_sentence_ends(spark):
     assert value(spark, "The cat sat. It ran!", T.tokens_simple(F.col("t"))) == "the cat sat. it ran."
 
