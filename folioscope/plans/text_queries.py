@@ -26,8 +26,7 @@ CLEAN = f"clean AS (SELECT doc_id, {S.clean_of('text')} AS text FROM documents)"
       FROM scored) WHERE rank <= 30""",
 )
 def top_phrases(spark, sf_dir):
-    scored = P.document_phrase_score(clean_documents(spark, sf_dir), max_words=3)
-    return P.top_phrases(scored, n=30)
+    return P.document_top_phrases(clean_documents(spark, sf_dir), 30, max_words=3)
 
 
 @query(

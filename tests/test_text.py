@@ -71,6 +71,18 @@ def test_phrase_scores_match_brute_force_and_both_forms_agree(spark):
     assert local == joined == expected
 
 
+def test_phrases_of_documents_are_scored_without_a_shuffle(spark):
+    texts = {i: "red blue of red blue, green red of blue" if i % 2 else "blue of blue blue" for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (40, None), (41, "")], "doc_id long, text string")
+    for n in (2, 30):
+        top = P.document_top_phrases(docs, n)
+        assert "Exchange" not in top._jdf.queryExecution().executedPlan().toString()
+        want = P.top_phrases(P.phrase_score(P.candidate_phrases(docs)), n=n)
+        assert sorted(map(tuple, top.collect())) == sorted(map(tuple, want.select(*top.columns).collect()))
+    scored = P.document_phrase_score(docs)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_breakers():
     assert set(phrase_breakers()) == {*FUNCTION_WORDS, *"abcdefghijklmnopqrstuvwxyz0123456789"}
 
