@@ -116,3 +116,18 @@ def test_no_node_gains_by_leaving_its_community(spark, at_once):
         cluster = last
     best = modularity(cluster)
     assert all(modularity({**cluster, node: other}) <= best + 1e-9 for node in cluster for other in set(cluster.values()))
+
+
+def test_communities_settle_in_few_rounds(spark, monkeypatch):
+    # all nodes of a clique want to go to the same cluster: one move for each cluster and round would take as many rounds as nodes
+    cliques = [range(0, 30), range(30, 60)]
+    edges = [(a, b, 1.0) for nodes in cliques for a, b in itertools.combinations(nodes, 2)]
+    written, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: written.append(1) or cut(df))
+    frame = spark.createDataFrame(edges, "source long, target long, weight double")
+    levels = C.community_levels(frame, 0).filter("level = 2").collect()
+    groups = {}
+    for r in levels:
+        groups.setdefault(r["cluster_id"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [list(nodes) for nodes in cliques]
+    assert len(written) < 60
