@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import phrases as P
 from folioscope.plans import sqltext as S
-from folioscope.plans.registry import query, table, texts
+from folioscope.plans.registry import dealt_texts, query, table, texts
 
 
 def clean_documents(spark, sf_dir):
@@ -43,7 +43,7 @@ def phrase_score(spark, sf_dir):
     SELECT doc_id, phrase, count(*) AS times FROM phr GROUP BY doc_id, phrase""",
 )
 def candidate_phrases(spark, sf_dir):
-    rows = P.candidate_phrases(clean_documents(spark, sf_dir))
+    rows = P.candidate_phrases(dealt_documents(spark, sf_dir))
     return rows.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -55,6 +55,10 @@ def clean_documents(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.clean_raw_text(F.col("text")).alias("text"))
 
 
+def dealt_documents(spark, sf_dir):
+    return dealt_texts(spark, sf_dir).select("doc_id", T.clean_raw_text(F.col("text")).alias("text"))
+
+
 @query("strip_non_ascii", f"SELECT doc_id, {S.ascii_of('text')} AS stripped FROM documents")
 def strip_non_ascii(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.strip_non_ascii(F.col("text")).alias("stripped"))
@@ -174,7 +178,7 @@ def html_escape(spark, sf_dir):
     GROUP BY doc_id, phrase""",
 )
 def phrase_dedupe(spark, sf_dir):
-    short = clean_documents(spark, sf_dir).select("doc_id", P.phrase_array(F.col("text"), 3).alias("short"))
+    short = dealt_documents(spark, sf_dir).select("doc_id", P.phrase_array(F.col("text"), 3).alias("short"))
     joined = F.when(
         F.size("short") > 1,
         F.transform(

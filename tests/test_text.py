@@ -8,6 +8,7 @@ from folioscope.functions import text as T
 from folioscope.functions.words import FUNCTION_WORDS, phrase_breakers
 from folioscope.operators import embedding as E
 from folioscope.operators import phrases as P
+from folioscope.plans.registry import registered
 
 
 def value(spark, text, column):
@@ -128,3 +129,10 @@ def test_attention_pairs_drop_words_outside_the_vocabulary_before_a_shuffle(spar
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     want = {("heart attack" if i % 3 else "stock", "care", i): 1 for i in range(30)}
     assert found == want and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize(("name", "counted"), [("flatten", "word"), ("phrase_dedupe", "phrase"), ("candidate_phrases", "phrase")])
+def test_counts_per_document_are_not_shuffled(spark, name, counted):
+    found = registered()[name].run(spark, "/root/testdata/sf0.001")
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert dealt and not any(counted in line.split("hashpartitioning", 1)[1] for line in dealt)
