@@ -8,7 +8,7 @@ from folioscope.operators import clusters as O
 from folioscope.operators import phrases as P
 from folioscope.plans import sqltext as S
 from folioscope.plans.registry import query, table
-from folioscope.plans.text_queries import CLEAN, clean_documents
+from folioscope.plans.text_queries import CLEAN, dealt_documents
 from folioscope.plans.vector_queries import CENTRES, VEC, label_centres, r6, vectors
 
 # Layout: the first two dimensions. Levels: the label, and the label's half.
@@ -249,7 +249,7 @@ def cluster_keywords(spark, sf_dir):
     levels = table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.array("source", "lang")).alias("level", "cluster_id")
     )
-    return P.cluster_keywords(clean_documents(spark, sf_dir), levels)
+    return P.cluster_keywords(dealt_documents(spark, sf_dir), levels)
 
 
 @query(
@@ -261,4 +261,4 @@ def cluster_text(spark, sf_dir):
     levels = table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.array("source", "lang")).alias("level", "cluster_id")
     )
-    return P.cluster_phrases(clean_documents(spark, sf_dir), levels)
+    return P.cluster_phrases(dealt_documents(spark, sf_dir), levels)
