@@ -136,3 +136,9 @@ def test_counts_per_document_are_not_shuffled(spark, name, counted):
     found = registered()[name].run(spark, "/root/testdata/sf0.001")
     dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
     assert dealt and not any(counted in line.split("hashpartitioning", 1)[1] for line in dealt)
+
+
+@pytest.mark.parametrize("name", ["write_matrix_text", "term_counts", "cluster_keywords", "cluster_text"])
+def test_texts_are_cut_in_all_tasks(spark, name):
+    found = registered()["tfidf" if name == "write_matrix_text" else name].run(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
