@@ -155,6 +155,8 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
 FLOOR = 1e-100
 POWERS = 12
 PARTS, REFINEMENTS = 16, 5
+# neighbours up to which a point is handled in one row, and numbers a task handles at once
+HELD_NEIGHBORS, SLICE_GAPS = 1000, 1_000_000
 
 
 def _entropies(edges: DataFrame, betas: list[Column]) -> DataFrame:
@@ -214,14 +216,89 @@ def _brackets(gaps: DataFrame, target: float) -> DataFrame:
     return cut_lineage(whole)
 
 
-def neighbor_affinity(edges: DataFrame, perplexity: float) -> DataFrame:
+def _held_betas(gaps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, target: float) -> np.ndarray:
+    """The precisions that ``_brackets`` and the refinements find, of points whose gaps lie side by side."""
+
+    def above(beta: np.ndarray) -> np.ndarray:
+        kernel = np.exp(-gaps * np.repeat(beta, sizes))
+        z, g = np.add.reduceat(kernel, starts), np.add.reduceat(gaps * kernel, starts)
+        return np.log(z) + beta * g / z > target
+
+    positive = gaps > 0
+    ties = sizes - np.add.reduceat(positive.astype(np.int64), starts)
+    total, following = np.add.reduceat(gaps, starts), np.minimum.reduceat(np.where(positive, gaps, np.inf), starts)
+    flat = np.log(sizes) <= target
+    steep = ~flat & (np.log(np.maximum(ties, 1)) >= target)
+    open_ = ~(flat | steep)
+    # at this precision the next gap weighs nothing
+    beyond = np.where(np.isinf(following), 1.0, 1000 / following)
+    base = np.where(open_, (sizes - ties) / np.where(open_, total, 1.0), 1.0)
+    power = np.zeros(len(sizes))
+    up = above(base)
+    going = open_.copy()
+    while going.any():
+        power[going] += np.where(up, 1.0, -1.0)[going]
+        going &= above(base * 4.0**power) == up
+    hi = base * 4.0 ** np.where(up, power, power + 1)
+    lo = hi / 4
+    for _ in range(REFINEMENTS * int(math.log2(PARTS))):
+        middle = (lo + hi) / 2
+        more = above(middle)
+        lo, hi = np.where(more, middle, lo), np.where(more, hi, middle)
+    return np.where(flat, 0.0, np.where(steep, beyond, (lo + hi) / 2))
+
+
+def _held_step(target: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("near")
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            flat = lists.flatten()
+            names, d = flat.field("j"), flat.field("d").to_numpy(zero_copy_only=False)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE_GAPS, side="right")) - 1)
+                sizes, starts = np.diff(bounds[first : last + 1]), bounds[first:last] - bounds[first]
+                own = d[bounds[first] : bounds[last]]
+                gaps = own - np.repeat(np.minimum.reduceat(own, starts), sizes)
+                kernel = np.exp(-gaps * np.repeat(_held_betas(gaps, starts, sizes, target), sizes))
+                share = kernel / np.repeat(np.add.reduceat(kernel, starts), sizes)
+                points = batch.column("i").take(pa.array(np.repeat(np.arange(first, last), sizes)))
+                yield pa.RecordBatch.from_pydict({"i": points, "j": names.slice(bounds[first], len(own)), "p": pa.array(share)})
+                first = last
+
+    return run
+
+
+def neighbor_affinity(edges: DataFrame, perplexity: float, held: int | None = None) -> DataFrame:
     """Symmetric weights (i, j, p) from distances (i, j, d) of points and their neighbours.
 
     The precision of every point is found by bracketing and refining until the entropy of its kernel is
-    ln(perplexity): all candidates of a round are evaluated in one pass of partial sums, so a point with
-    very many neighbours is never gathered. Weights are (p(j|i) + p(i|j)) / 2n, at least 1e-100.
+    ln(perplexity). Points of up to ``held`` neighbours are handled in one row each. Of the others, all candidates of a round
+    are evaluated in one pass of partial sums, so a point with very many neighbours is never gathered. Weights are
+    (p(j|i) + p(i|j)) / 2n, at least 1e-100.
     """
     target = math.log(perplexity)
+    edges = cut_lineage(edges.select("i", "j", F.col("d").cast("double").alias("d")))
+    unclear = F.count_if(F.col("d").isNull() | F.isnan("d"))
+    many = edges.groupBy("i").agg(F.count(F.lit(1)).alias("n"), unclear.alias("unclear"))
+    wide = cut_lineage(many.filter((F.col("n") > (HELD_NEIGHBORS if held is None else held)) | (F.col("unclear") > 0)).select("i"))
+    some = not wide.isEmpty()
+    narrow = edges.join(wide, "i", "left_anti") if some else edges
+    packed = narrow.groupBy("i").agg(F.collect_list(F.struct("j", "d")).alias("near"))
+    kinds = dict(edges.dtypes)
+    shares = packed.mapInArrow(_held_step(target), f"i {kinds['i']}, j {kinds['j']}, p double")
+    if some:
+        shares = shares.unionByName(_wide_shares(edges.join(wide, "i", "left_semi"), target))
+    shares = cut_lineage(shares)
+    n = shares.select("i").union(shares.select("j")).agg(F.count_distinct("i").alias("n")).scalar()
+    both = shares.unionByName(shares.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
+    summed = both.groupBy("i", "j").agg(F.sum("p").alias("p"))
+    return summed.select("i", "j", F.greatest(F.col("p") / (2 * n), F.lit(FLOOR)).alias("p"))
+
+
+def _wide_shares(edges: DataFrame, target: float) -> DataFrame:
+    """``i, j, p``: the share of every neighbour in its point's kernel, by rounds of partial sums."""
     nearest = edges.groupBy("i").agg(F.min("d").alias("_near"))
     gaps = cut_lineage(edges.join(nearest, "i").select("i", "j", (F.col("d") - F.col("_near")).alias("gap")))
     bracket = _brackets(gaps, target)
@@ -238,8 +315,4 @@ def neighbor_affinity(edges: DataFrame, perplexity: float) -> DataFrame:
     beta = bracket.select("i", ((F.col("lo") + F.col("hi")) / 2).alias("beta"))
     kernel = gaps.join(beta, "i").select("i", "j", F.exp(-F.col("gap") * F.col("beta")).alias("k"))
     totals = kernel.groupBy("i").agg(F.sum("k").alias("z"))
-    shares = cut_lineage(kernel.join(totals, "i").select("i", "j", (F.col("k") / F.col("z")).alias("p")))
-    n = shares.select("i").union(shares.select("j")).agg(F.count_distinct("i").alias("n")).scalar()
-    both = shares.unionByName(shares.select(F.col("j").alias("i"), F.col("i").alias("j"), "p"))
-    summed = both.groupBy("i", "j").agg(F.sum("p").alias("p"))
-    return summed.select("i", "j", F.greatest(F.col("p") / (2 * n), F.lit(FLOOR)).alias("p"))
+    return kernel.join(totals, "i").select("i", "j", (F.col("k") / F.col("z")).alias("p"))

@@ -323,6 +323,18 @@ def test_affinity_finds_a_bandwidth_at_any_scale(spark):
     assert found[11, 100] == pytest.approx(found[11, 101])
 
 
+def test_affinity_of_few_and_of_many_neighbours_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, 100 + j, float(d)) for i in range(40) for j, d in enumerate(np.round(rng.random(int(rng.integers(2, 60))) * 10.0 ** rng.integers(-6, 6), 9))]
+    edges = spark.createDataFrame(rows, "i long, j long, d double")
+    by_rounds = {(r["i"], r["j"]): r["p"] for r in NB.neighbor_affinity(edges, 5.0, held=0).collect()}
+    monkeypatch.setattr(NB, "SLICE_GAPS", 100)
+    monkeypatch.setattr(NB, "_brackets", lambda *_: pytest.fail("points of few neighbours need no rounds"))
+    at_once = {(r["i"], r["j"]): r["p"] for r in NB.neighbor_affinity(edges, 5.0).collect()}
+    assert at_once.keys() == by_rounds.keys()
+    assert all(p == pytest.approx(by_rounds[pair], rel=1e-5, abs=1e-12) for pair, p in at_once.items())
+
+
 def exact_nearest(points, k):
     gaps = np.round(((points[:, None] - points[None]) ** 2).sum(axis=2), 9)
     np.fill_diagonal(gaps, np.inf)
