@@ -109,3 +109,13 @@ def test_feature_json_replaces_nulls_at_the_sink(spark, tmp_path):
 def test_matrix_text(spark):
     cells = spark.createDataFrame([(1, "a", 0.126)], "doc_id long, term string, weight double")
     assert writers.matrix_text(cells).select(F.col("value")).first()[0] == "0.13"
+
+
+def test_graph_files_do_not_grow_with_the_graph(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "XML_FILE_ROWS", 10)
+    nodes = spark.range(45).select(F.col("id").alias("node"), F.lit(0).alias("if_highlight")).coalesce(1)
+    edges = spark.range(35).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"), F.lit(1.5).alias("weight")).coalesce(1)
+    writers.write_graph_xml(nodes, edges, str(tmp_path / "graph"))
+    assert len(list((tmp_path / "graph" / "nodes").glob("part-*"))) == 5
+    assert len(list((tmp_path / "graph" / "edges").glob("part-*"))) == 4
+    assert readers.read_graph_edges(spark, str(tmp_path / "graph" / "edges")).count() == 35
