@@ -131,3 +131,15 @@ def test_communities_settle_in_few_rounds(spark, monkeypatch):
         groups.setdefault(r["cluster_id"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == [list(nodes) for nodes in cliques]
     assert len(written) < 60
+
+
+def test_modularity_does_not_repeat_edges_for_each_level(spark):
+    weights = {(0, 1): 2.0, (1, 2): 1.0, (2, 3): 4.0, (0, 3): 1.0}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "source long, target long, weight double")
+    rows = [(node, level, cluster) for node in range(4) for level, cluster in enumerate(["ab"[node // 2], "all", None])]
+    found = G.modularity(edges, spark.createDataFrame(rows, "node long, level int, cluster_id string"), ["level"])
+    scores = {r["level"]: (r["modularity"], r["n_clusters"]) for r in found.collect()}
+    assert scores[0] == (pytest.approx(6 / 8 - (6 / 16) ** 2 - (10 / 16) ** 2), 2) and scores[1] == (pytest.approx(0.0), 1)
+    assert scores[2] == (pytest.approx(-1.0), 1)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert not any("level" in line for line in joins)
