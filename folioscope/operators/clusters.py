@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -200,17 +201,45 @@ def kmeans_update(
     return joined.select("label", F.coalesce("_mean", "_old").alias("vector"))
 
 
+def _labels(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    # an Arrow batch of documents against all centres at once
+    gaps = ((points**2).sum(axis=1))[:, None] - 2 * points @ centres.T + (centres**2).sum(axis=1)[None, :]
+    return gaps.argmin(axis=1)
+
+
 def _nearest(centres: np.ndarray):
     @F.pandas_udf("int")
     def nearest(vectors: pd.Series) -> pd.Series:
-        # an Arrow batch of documents against all centres at once
-        points = np.stack(vectors.to_numpy())
-        gaps = ((points**2).sum(axis=1))[:, None] - 2 * points @ centres.T + (centres**2).sum(axis=1)[None, :]
-        return pd.Series(gaps.argmin(axis=1).astype("int32"))
+        return pd.Series(_labels(np.stack(vectors.to_numpy()), centres).astype("int32"))
 
     return nearest
 
 
+def _sums_step(centres: np.ndarray):
+    """The sum and the number of a task's vectors nearest to each centre; the vectors themselves do not come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, sizes = np.zeros_like(centres, dtype=float), np.zeros(len(centres), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                points = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                labels = _labels(points, centres)
+                order = np.argsort(labels, kind="stable")
+                found, starts, counts = np.unique(labels[order], return_index=True, return_counts=True)
+                sums[found] += np.add.reduceat(points[order], starts, axis=0)
+                sizes[found] += counts
+        used = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "label": pa.array(used.astype(np.int32)),
+                "n": pa.array(sizes[used]),
+                "sums": pa.array(list(sums[used]), pa.list_(pa.float64())),
+            }
+        )
+
+    return run
+
+
 def kmeans(
     docs: DataFrame, k: int | None = None, iterations: int = 1000, key: str = "doc_id", vector: str = "vector"
 ) -> tuple[DataFrame, DataFrame]:
@@ -220,18 +249,21 @@ def kmeans(
     partial sums per task, and the iterations end early once no centre moves. Returns (key, label) and the centres
     (label, vector, size).
     """
-    data = cut_lineage(docs.select(key, vector))
+    # dealt to all cores, also where the table is a single row group
+    parts = docs.sparkSession.sparkContext.defaultParallelism
+    data = cut_lineage(docs.select(key, V.as_doubles(F.col(vector)).alias(vector)).repartition(parts, key))
     if k is None:
         k = max(1, round((data.count() / 2) ** 0.5))
     if k > HELD_CENTRES:
         return _kmeans_tables(data, k, iterations, key, vector)
     centres = np.array([row[0] for row in data.orderBy(key).limit(k).select(vector).collect()])
     for _ in range(iterations):
-        labelled = data.select(vector, _nearest(centres)(F.col(vector)).alias("label"))
-        means = labelled.groupBy("label").agg(mean_vector(vector).alias("mean")).collect()
+        partial = data.select(vector).mapInArrow(_sums_step(centres), "label int, n bigint, sums array<double>")
+        summed = Summarizer.metrics("sum").summary(array_to_vector("sums"))["sum"]
+        means = partial.groupBy("label").agg(F.sum("n").alias("n"), vector_to_array(summed).alias("sums")).collect()
         moved = centres.copy()
         for row in means:
-            moved[row["label"]] = row["mean"]
+            moved[row["label"]] = np.array(row["sums"]) / row["n"]
         settled = np.allclose(moved, centres, rtol=0, atol=1e-12)
         centres = moved
         if settled:

@@ -335,6 +335,18 @@ def test_affinity_of_few_and_of_many_neighbours_is_the_same(spark, monkeypatch):
     assert all(p == pytest.approx(by_rounds[pair], rel=1e-5, abs=1e-12) for pair, p in at_once.items())
 
 
+def test_kmeans_works_in_all_cores_on_a_table_of_one_part(spark):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([c + rng.normal(size=(60, 4)) for c in rng.normal(scale=9, size=(5, 4))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    labels, centres = K.kmeans(spark.createDataFrame(rows, "doc_id long, vector array<double>").coalesce(1), 5)
+    assert labels.select(F.spark_partition_id().alias("part")).distinct().count() > 1
+    own = {r["doc_id"]: r["label"] for r in labels.collect()}
+    for row in centres.collect():
+        members = [points[i] for i, label in own.items() if label == row["label"]]
+        assert len(members) == row["size"] and row["vector"] == pytest.approx(np.mean(members, axis=0))
+
+
 def exact_nearest(points, k):
     gaps = np.round(((points[:, None] - points[None]) ** 2).sum(axis=2), 9)
     np.fill_diagonal(gaps, np.inf)
