@@ -73,5 +73,13 @@ def test_stages_take_odd_tables(docs_of, stage):
     assert run(spark, odd.filter("false"), DATA).count() == 0
 
 
+def test_tokens_take_one_worker_a_task(docs_of, capsys):
+    made = corpus_pipeline.tokens(docs_of([]).sparkSession, docs_of(["the cat", None, "日本語 and 😀"]), DATA)
+    made.explain()
+    # each Python node of a task is a worker of its own, with a vocabulary and a cache of its own
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert all(r.exact and r.n_tokens == len(r.ids) for r in made.collect()) and made.count() == 3
+
+
 def test_contract():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
