@@ -62,3 +62,26 @@ def test_rows_that_differ_by_where_a_null_is_are_different(shipped):
     rows = [(1, "a text of its own", "x", None), (1, "other words in this row", None, "x"), (1, "a text of its own", "x", None)]
     docs = shipped.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     assert near_copies.keep_one_of_each(docs).count() == 2
+
+
+def test_pairs_of_a_group_are_not_all_compared(docs_of, monkeypatch):
+    tried = []
+    whole = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, sets: tried.append(pairs.count()) or whole(pairs, sets))
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(300)]
+    texts = [edited(words, rng, 1) for _ in range(20)]
+    assert [r.doc_id for r in near_copies.keep_one_of_each(docs_of(texts)).collect()] == [0]
+    # 190 pairs
+    assert 0 < sum(tried) <= 19
+
+
+def test_texts_move_once_and_only_at_the_end(docs_of, monkeypatch, capsys):
+    texts = [f"text {i % 40} of some words that no other text has {i % 40}" for i in range(60)]
+    made = near_copies.keep_one_of_each(docs_of(texts))
+    made.explain()
+    # dealt for the join with the rows that stay; the window and the other side take no further one
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 2
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+    for result in (made, near_copies.keep_one_of_each(docs_of(texts))):
+        assert sorted(r.doc_id for r in result.collect()) == plain_kept(texts)
