@@ -64,6 +64,19 @@ def test_rows_that_differ_by_where_a_null_is_are_different(shipped):
     assert near_copies.keep_one_of_each(docs).count() == 2
 
 
+def test_the_stage_links_texts_by_fingerprints_as_well(docs_of):
+    from folioscope.llm import simhash
+
+    # the repeated line decides every bit, and the other words most of the sets of shingles
+    line = "one line of words over and over "
+    texts = [line * 60 + " ".join(f"{name}{i}" for i in range(12)) for name in ("left", "right")]
+    texts += ["a text of other words than these", texts[0].replace("line", "row")]
+    assert simhash.fingerprint(texts[0]) == simhash.fingerprint(texts[1]) and plain_kept(texts) == [0, 1, 2, 3]
+    run = dict(corpus_pipeline.STAGES)["near-dedup"]
+    kept = run(docs_of(texts).sparkSession, docs_of(texts), "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 3]
+
+
 def test_pairs_of_a_group_are_not_all_compared(docs_of, monkeypatch):
     tried = []
     whole = near_copies._similar
